@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, rules, simhash
+from tidewell.llm import bpe, minhash, rules, simhash
 from tidewell.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return minhash.against_next(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to, as digests."""
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
@@ -40,6 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, minhash, rules, simhash
+from tidewell.llm import bpe, minhash, mixing, rules, simhash
 from tidewell.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -44,11 +44,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, minhash, mixing, rules, simhash
+from tidewell.llm import bpe, minhash, mixing, rules, secrets, simhash
 from tidewell.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,17 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[secrets.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,6 +63,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_secret_scan": op5_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,

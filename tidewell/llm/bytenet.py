@@ -26,14 +26,14 @@ from pyspark.sql import types as T
 
 from tidewell.llm.textkit import groups, utf8_views
 
-WIDTH, FILTERS, DIMENSIONS = 6, 16, 8
+WIDTH, FILTERS, DIMENSIONS = 6, 24, 8
 BLOCK = 128
 CHUNK = 2 * BLOCK
 THRESHOLD = 0.3
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHUNKS = 8
-EPOCHS = 12
+EPOCHS = 20
 
 #: Places of a block's windows, and those of a document's last block that would reach past its end.
 PLACES = BLOCK // 2

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytenet, lines, minhash, mixing, rules, secrets, simhash
+from tidewell.llm import bpe, bytenet, lines, minhash, mixing, rules, secrets, simhash, urls
 from tidewell.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= bytenet.THRESHOLD, 1).otherwise(0))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.labelled_by_host(pages))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to, as digests."""
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
@@ -78,6 +84,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_url_filter": op3_url_filter,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,

@@ -27,23 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.rules import let
-from tidewell.llm.textkit import written
+from tidewell.llm.textkit import BROADCAST_ROWS, small, written
 
 EDITS = 1
 LEAST_CHARS = 20
 
-#: Rows of two or three longs that may be sent to every executor; beyond that many the join shuffles.
-BROADCAST_ROWS = 500_000
-
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written frame, for broadcast if its row count allows it; Spark chooses another join otherwise."""
-    return F.broadcast(frame) if frame.count() <= rows else frame
-
-
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, no, line, h1, h2) of the lines that may be dropped; th is the text's hash, h1 and h2 the line's."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))

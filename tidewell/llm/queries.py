@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytenet, lines, minhash, mixing, rules, secrets, simhash, urls
+from tidewell.llm import bpe, bytenet, lines, minhash, mixing, rollups, rules, secrets, simhash, urls
+from tidewell.llm.textkit import shared_folder, written
 from tidewell.session import table
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = corpus_pipeline.VOCABULARY
 
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after two batches: every document by its words, then every count revised to byte-level BPE."""
+    vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
+    docs = table(spark, sf_dir, "documents")
+    tokens = (F.length(bpe.encode(vocabulary, F.col("text"))) / 4).cast("long")
+    counts = written(docs.select("doc_id", "source", "lang", mixing.word_count(F.col("text")).alias("words"), tokens.alias("tokens")))
+    by_words = counts.select("doc_id", "source", "lang", F.lit("words/1").alias("tokenizer_version"), F.col("words").alias("n_tokens"))
+    by_bpe = counts.select("doc_id", "source", "lang", F.lit("byte_bpe_50k/1").alias("tokenizer_version"), F.col("tokens").alias("n_tokens"))
+    rollup = rollups.Rollup(spark, shared_folder(spark))
+    rollup.commit("words", rollups.inserts(by_words))
+    rollup.commit("bpe", rollups.changes(by_words, by_bpe))
+    return rollup.totals()
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -89,8 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_token_rollups": op8_token_rollups,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

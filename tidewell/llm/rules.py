@@ -202,3 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """statistics() with base_failed and kept."""
     return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.verdict())
+
+
+def kept_rows(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the base rule and the list keep, all columns unchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return judged(rows.withColumnRenamed("row", "doc_id"), rules).where("kept").select("doc_id.*")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.components import connected
-from tidewell.llm.textkit import groups, utf8_views, written
+from tidewell.llm.textkit import groups, small, utf8_views, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -95,15 +95,29 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def classes(marked: DataFrame) -> DataFrame:
-    """(fingerprint, component_id) for each distinct fingerprint of ``marked`` (doc_id, fingerprint)."""
+    """(fingerprint, root, component_id) for each distinct fingerprint of ``marked`` (doc_id, fingerprint)."""
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
     stars = connected(links(distinct)).select(F.col("node").alias("fingerprint"), "root")
     rooted = distinct.join(stars, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(named, "root").select("fingerprint", "component_id")
+    return rooted.join(named, "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id (the smallest doc_id reachable over links) of each row."""
     marked = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fingerprint")))
     return marked.join(classes(marked), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: of the smallest id, null last, then of the smallest hash of the text."""
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = written(docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), fingerprint(F.col(text_col)).alias("fingerprint")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    alike = marked.groupBy("fingerprint", "doc_id", "hash").count()
+    first = alike.join(classes(marked), "fingerprint").groupBy("root").agg(F.min(F.struct(key.alias("key"), "count")).alias("first"))
+    keep = written(first.select(F.col("first.key.doc_id").alias("_id"), F.col("first.key.hash").alias("_hash"), F.col("first.count").alias("_rows")))
+    out = docs.join(small(keep), F.col(id_col).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")))
+    if not keep.where("_rows > 1").limit(1).count():
+        return out.select(docs.columns)
+    return out.where("_rows = 1").union(out.where("_rows > 1").dropDuplicates(["_id", "_hash"])).select(docs.columns)

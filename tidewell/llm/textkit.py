@@ -11,10 +11,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What the contracts call a word: a maximal run outside space and \t\n\v\f\r.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
+#: Rows of a few longs that may be sent to every executor; beyond that many a join shuffles.
+BROADCAST_ROWS = 500_000
+
 #: Bytes of text that the array code looks at together; one longer document is taken alone.
 GROUP_BYTES = 1 << 21
 
@@ -66,10 +70,6 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables made by written()."""
-    jvm = spark.sparkContext._jvm
-    for frame in frames:
-        for name in {os.path.dirname(f) for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written frame of a few longs a row, for broadcast if its row count allows it; Spark chooses another join otherwise."""
+    return F.broadcast(frame) if frame.count() <= rows else frame

@@ -125,7 +125,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     }
     target = np.array(labels, float)
     share = target.mean() if len(target) else 0.5
-    if not 0 < share < 1:
+    if not len(target) or not 0 < share < 1:
         return Net(*[np.asarray(v) for v in list(values.values())[:4]], 0.0, float(share))
     values["offset"][0] = np.log(share / (1 - share))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in values.items()}

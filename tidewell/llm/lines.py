@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.rules import let
-from tidewell.llm.textkit import BROADCAST_ROWS, small, written
+from tidewell.llm.textkit import BROADCAST_ROWS, carried, small, written
 
 EDITS = 1
 LEAST_CHARS = 20
@@ -38,7 +38,7 @@ _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, no, line, h1, h2) of the lines that may be dropped; th is the text's hash, h1 and h2 the line's."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     rows = rows.where((F.length("line") >= LEAST_CHARS) & F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -130,13 +130,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept lines in text, and n_lines and n_dropped, as longs."""
-    gone = written(dropped_lines(docs, id_col, text_col)).select(F.col("doc_id").alias("_of"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    text = F.col(text_col)
-    joined = docs.join(small(gone, BROADCAST_ROWS // 4), F.col(id_col).eqNullSafe(F.col("_of")) & (F.xxhash64(text) == F.col("_th")), "left")
-    cut = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_gone"))
+    """docs with the kept lines in text, and n_lines and n_dropped, as longs; columns of those names are replaced."""
+    gone = written(dropped_lines(docs, id_col, text_col))
+    gone = small(gone.select(F.col("doc_id").alias("of"), F.col("th").alias("of_hash"), "gone"), BROADCAST_ROWS // 4)
+    rows = carried(docs, id_col, text_col)
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    cut = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone"))
     kept = let(F.struct(cut.alias("lines"), left.alias("left")), lambda x: F.transform(x["left"], lambda no: F.get(x["lines"], no)))
-    changed = F.when(F.col("_gone").isNotNull() & text.isNotNull(), F.array_join(kept, "\n")).otherwise(text)
-    counts = [F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped")]
-    return joined.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
+    changed = F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    counts = {"n_lines": F.coalesce(F.size(cut), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    new = counts | {text_col: changed}
+    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns], *[v.alias(n) for n, v in counts.items() if n not in docs.columns])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.textkit import WORD_SEPARATORS, small, written
+from tidewell.llm.textkit import WORD_SEPARATORS, chosen, written
 
 # Weights of the sources by code point, repeating, and the most often that a document is taken.
 WEIGHTS = (5, 2, 1)
@@ -106,11 +106,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken; rows without words are left out."""
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     taken = mixed(docs, id_col, text_col, source_col, seed).where("taken > 0")
-    times = taken.groupBy("doc_id", "hash").agg((F.sum("taken") / F.max("size")).cast("int").alias("_times"), F.count("*").alias("_rows"))
-    times = written(times.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "_times", "_rows"))
-    out = docs.join(small(times), F.col(id_col).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")))
-    if times.where("_rows > 1").limit(1).count():
-        out = out.where("_rows = 1").union(out.where("_rows > 1").dropDuplicates(["_id", "_hash"]))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    times = taken.groupBy("doc_id", "hash").agg((F.sum("taken") / F.max("size")).cast("int").alias("times"), F.count("*").alias("rows"))
+    times = written(times.select(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "times", "rows"))
+    found = chosen(docs, id_col, text_col, times)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.components import connected
-from tidewell.llm.textkit import groups, small, utf8_views, written
+from tidewell.llm.textkit import chosen, groups, utf8_views, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -116,8 +116,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     alike = marked.groupBy("fingerprint", "doc_id", "hash").count()
     first = alike.join(classes(marked), "fingerprint").groupBy("root").agg(F.min(F.struct(key.alias("key"), "count")).alias("first"))
-    keep = written(first.select(F.col("first.key.doc_id").alias("_id"), F.col("first.key.hash").alias("_hash"), F.col("first.count").alias("_rows")))
-    out = docs.join(small(keep), F.col(id_col).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")))
-    if not keep.where("_rows > 1").limit(1).count():
-        return out.select(docs.columns)
-    return out.where("_rows = 1").union(out.where("_rows > 1").dropDuplicates(["_id", "_hash"])).select(docs.columns)
+    keep = written(first.select(F.col("first.key.doc_id").alias("of"), F.col("first.key.hash").alias("of_hash"), F.col("first.count").alias("rows")))
+    return chosen(docs, id_col, text_col, keep).select("row.*")

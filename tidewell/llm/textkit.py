@@ -73,3 +73,17 @@ def written(frame: DataFrame) -> DataFrame:
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written frame of a few longs a row, for broadcast if its row count allows it; Spark chooses another join otherwise."""
     return F.broadcast(frame) if frame.count() <= rows else frame
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns of docs), doc_id, text and hash (of the text, null as empty): no column's name can clash."""
+    text = F.col(text_col)
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+
+
+def chosen(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """carried() with the columns of ``keys`` (of, of_hash, rows, ...), for rows whose id and hash are among them; equal rows once."""
+    found = carried(docs, id_col, text_col).join(small(keys), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
+    if not keys.where("rows > 1").limit(1).count():
+        return found
+    return found.where("rows = 1").union(found.where("rows > 1").dropDuplicates(["of", "of_hash"]))

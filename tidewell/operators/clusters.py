@@ -45,7 +45,7 @@ def containing(frame: DataFrame, ellipses: DataFrame, x: str, y: str) -> DataFra
 
 
 def nearest_within(probes: DataFrame, dots: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """key, nearest_id: the nearest other dot within a radius; of equally near ones the later. Dots meet by grid cells."""
+    """key, nearest_id: the nearest other dot within a radius; of equally near ones, to nine places, the later. Dots meet by grid cells."""
     cell = lambda c: F.floor(c / radius).cast("long")
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     p = probes.select(F.col(key).alias("pk"), F.col(x).alias("px"), F.col(y).alias("py"))
@@ -53,7 +53,7 @@ def nearest_within(probes: DataFrame, dots: DataFrame, key: str, x: str, y: str,
     d = dots.select(F.col(key).alias("dk"), F.col(x).alias("dx"), F.col(y).alias("dy"), cell(F.col(x)).alias("gx"), cell(F.col(y)).alias("gy"))
     square = F.pow(F.col("px") - F.col("dx"), F.lit(2)) + F.pow(F.col("py") - F.col("dy"), F.lit(2))
     near = p.join(d, ["gx", "gy"]).where(F.col("pk") != F.col("dk")).withColumn("d2", square).where(F.col("d2") <= radius * radius + 1e-9)
-    return near.groupBy("pk").agg(F.min(F.struct("d2", (-F.col("dk")).alias("dk"))).alias("b")).select(F.col("pk").alias(key), (-F.col("b.dk")).alias("nearest_id"))
+    return near.groupBy("pk").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), (-F.col("dk")).alias("dk"))).alias("b")).select(F.col("pk").alias(key), (-F.col("b.dk")).alias("nearest_id"))
 
 
 def cluster_metrics(members: DataFrame, high: float = 0.8) -> DataFrame:

@@ -436,7 +436,7 @@ def ellipse_hit(spark, sf_dir):
     return clusters.containing(rows.select("vec_id", "x", "y"), shapes.select("cluster_id", "cx", "cy", "rx", "ry", "angle"), "x", "y").select("vec_id", "cluster_id")
 
 
-@query(f"""WITH {MEMBERS}, p AS (SELECT a.vec_id, b.vec_id AS nearest_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.vec_id DESC) AS rk FROM mem a JOIN mem b ON a.vec_id <> b.vec_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.05 * 0.05 + 1e-9)
+@query(f"""WITH {MEMBERS}, p AS (SELECT a.vec_id, b.vec_id AS nearest_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 9), b.vec_id DESC) AS rk FROM mem a JOIN mem b ON a.vec_id <> b.vec_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.05 * 0.05 + 1e-9)
  SELECT vec_id, nearest_id FROM p WHERE rk = 1""")
 def radius_nearest(spark, sf_dir):
     rows = members(spark, sf_dir)

@@ -292,3 +292,77 @@ def test_streaming(spark, tmp_path):
     assert sorted(map(tuple, spark.table("states").collect())) == [("a", "failed", 2), ("b", "success", 1)]
     batch = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k long, h string")
     assert [r["k"] for r in incremental.changed_rows(batch, spark.createDataFrame([(1, "x")], "k long, h string"), "k", "h").collect()] == [2]
+
+
+def test_stages(spark, tmp_path):
+    from tidewell.plans import stages
+
+    calls, steps = [], stages.Stages()
+    for name in ("labels", "filter", "clustering"):
+        steps.add(name, lambda n=name: calls.append(n))
+    steps.run()
+    assert calls == ["filter", "clustering", "labels"]
+    with pytest.raises(ZeroDivisionError), stages.stage("bad"):
+        raise ZeroDivisionError
+    failures = []
+    with stages.item("one", failures):
+        raise ValueError("x")
+    assert failures == [("one", "x")]
+    tries = iter([ValueError(), ValueError(), 5])
+
+    def flaky():
+        value = next(tries)
+        if isinstance(value, Exception):
+            raise value
+        return value
+
+    assert stages.retried(flaky, 3, sleep=lambda s: None) == 5
+    assert stages.exposed({"a": True, "b": False}, ["a", "b", "c"]) == ["a"]
+    state = spark.createDataFrame([(1, None, 0, None), (2, None, 0, None)], "k long, status string, attempts long, error string")
+    rounds = stages.generation_rounds(state, "k", lambda rows, n: rows.select("k", F.when(F.col("k") == 1, "success").otherwise("failure").alias("outcome")), 3, 7, lambda f: spark.createDataFrame(f.collect(), f.schema))
+    assert {r["k"]: (r["status"], r["attempts"]) for r in rounds.collect()} == {1: ("success", 1), 2: ("failed", 3)}
+
+
+def test_media(spark, tmp_path):
+    import wave
+
+    from tidewell.sources import media
+
+    for name, rate in (("1", 16000), ("2", 8000)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as sound:
+            sound.setnchannels(1)
+            sound.setsampwidth(2)
+            sound.setframerate(rate)
+            sound.writeframes(b"\x00\x40" * rate)
+    (tmp_path / "3.wav").write_bytes(b"none")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    probed = media.probed(files).withColumn("media_id", F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long"))
+    found = {r["media_id"]: (r["rate"], r["seconds"]) for r in probed.collect()}
+    assert found == {1: (16000, 1.0), 2: (8000, 1.0), 3: (None, None)}
+    samples = {r["path"][-5]: r["samples"] for r in media.decoded(files).collect()}
+    assert samples["1"][0] == 0.5 and samples["3"] is None
+    selected = spark.createDataFrame([(1,), (2,), (3,)], "clip_id long")
+    swept = media.audio_to_sweep(probed, selected)
+    assert [r["path"][-5] for r in swept.collect()] == ["2"] and media.delete_files(swept) == 1
+    stats_of = readers.media_stats(spark, str(tmp_path))
+    assert media.to_transcode(stats_of, stats_of).count() == 0 and media.to_transcode(stats_of, stats_of.limit(0)).count() == 2
+
+
+def test_schemas(spark):
+    from tidewell import schemas
+
+    rows = schemas.conform(spark.createDataFrame([(1, "x")], "id long, other string"), "users")
+    assert rows.schema == schemas.schema("users") and rows.first()["is_selected"] is None
+    body = '{"cluster_label":"A B","tool_tags":["t"],"visual_repertoire":[{"tag":"x"}]}'
+    frame = spark.createDataFrame([(body, "success"), (body, "failed")], "p string, status string").withColumn("p", F.from_json("p", schemas.cluster_label()))
+    blocks = [r[0] for r in frame.select(labels.label_block(F.col("p"), "visual_repertoire", "visual", F.col("status"))).collect()]
+    assert blocks[0]["repertoire"][0]["tag"] == "x" and blocks[1] is None
+
+
+def test_rendering(spark, tmp_path):
+    rows = spark.createDataFrame([("c", 2, 20, "b"), ("c", 1, 10, "a")], "k string, pick_rank long, clip_id long, payload string")
+    assert labels.candidates_body(rows, ["k"], ["pick_rank"]).first()["body"] == '[{"clip_id":10,"payload":"a"},{"clip_id":20,"payload":"b"}]'
+    names = spark.createDataFrame([("c", 1, "B", ["x", "y"]), ("c", 0, "A", [])], "embedding_case string, cluster_id long, label string, candidates array<string>")
+    assert labels.roster(names).first()["body"] == "0: A []\n1: B [x; y]"
+    serving.write_atomically("{}", str(tmp_path / "m.json"), spark)
+    assert (tmp_path / "m.json").read_text() == "{}\n"

@@ -80,3 +80,22 @@ def document(tables: dict[str, DataFrame], keys: list[str], order: list[str], **
             rows = rows.where(F.col(column) == F.lit(value))
         found[name] = rows
     return rebuild(found, keys, order)
+
+
+def manifest(runs: DataFrame, members: DataFrame, schema_version: int) -> DataFrame:
+    """A row for each run with its sizes, and the version of the document contract."""
+    sizes = members.groupBy("run_id").agg(F.count("*").alias("n_users"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"))
+    return runs.join(sizes, "run_id", "left").withColumns({"n_users": F.coalesce("n_users", F.lit(0)), "n_clusters": F.coalesce("n_clusters", F.lit(0)), "schema_version": F.lit(schema_version)})
+
+
+def write_atomically(body: str, path: str, spark) -> None:
+    """Writes a small document beside its place, with a newline at its end, and renames it."""
+    jvm = spark.sparkContext._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.create(part, True)
+    stream.write(bytearray((body.rstrip("\n") + "\n").encode()))
+    stream.close()
+    files.delete(target, False)
+    if not files.rename(part, target):
+        raise OSError(f"cannot rename to {path}")

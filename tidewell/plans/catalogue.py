@@ -11,7 +11,7 @@ from tidewell.functions import geometry as G
 from tidewell.functions import predicates as P
 from tidewell.functions import text as X
 from tidewell.operators import clusters, labels, profiles, relational, serving, stats, vectors
-from tidewell.plans import filter_stage, ledger
+from tidewell.plans import filter_stage, ledger, plugins, stages
 from tidewell.plans.adapters import CLIPS, FLAGS, MEMBERS, POOL, SETTINGS, SHAPES, SOFT, clips, members
 from tidewell.session import table
 from tidewell.sources import readers
@@ -595,3 +595,100 @@ def hdbscan_search(spark, sf_dir):
 def daily_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     return rows.groupBy("event_type", F.col("ts").cast("date").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# states, stages and remaining families
+
+@query("""SELECT d.doc_id, l.quality IS NULL OR l.quality = 0 AS is_wanted, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'ready' WHEN l.toxic = 1 THEN 'terminal' ELSE 'pending' END AS evidence FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def pending_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"))
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("clip_id"), F.lit("visual").alias("label_case"), "quality", "toxic", F.lit("{}").alias("payload"))
+    own = rows.select("clip_id", F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"), F.lit(1).alias("attempts"))
+    other = rows.withColumn("status", F.when(F.col("toxic") == 1, "failed").when(F.col("quality") == 1, "success").otherwise("pending"))
+    wanted = docs.join(own, "clip_id", "left").select("clip_id", P.label_selected(2).alias("is_wanted"))
+    return stages.dependency_evidence(wanted, other, "visual").select(F.col("clip_id").alias("doc_id"), "is_wanted", "evidence")
+
+
+@query("""SELECT c.clip_id, c.n FROM (SELECT e.event_id AS clip_id, e.user_id, length(e.event_type) AS n FROM events e WHERE event_type <> 'error' AND event_type <> 'view') c WHERE c.user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) >= 66)""")
+def embedding_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("clip_id"), "user_id", F.length("event_type").cast("long").alias("n"), (F.col("event_type") != "error").alias("is_selected"), (F.col("event_type") != "view").alias("is_downloaded"))
+    users = rows.groupBy(F.col("user_id").alias("id")).agg((F.count("*") >= 66).alias("is_eligible"))
+    return stages.embedding_candidates(rows, users).select("clip_id", "n")
+
+
+@query("SELECT conv_id, round(avg(turn * 1.0), 6) AS avg_logprob, round(avg(length(text) * 1.0), 6) AS compression_ratio, round(greatest(least(1 - avg((turn % 3) / 3.0), 1), 0), 6) AS confidence FROM conversations GROUP BY conv_id")
+def segment_confidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 1.0).alias("avg_logprob"), (F.length("text") * 1.0).alias("compression_ratio"), (F.col("turn") % 3 / 3.0).alias("no_speech_prob"))
+    return stats.segment_stats(rows, ["conv_id"]).select("conv_id", r("avg_logprob"), r("compression_ratio"), r("confidence"))
+
+
+@query(f"""SELECT conv_id, turn, (length(coalesce(text, '')) > 0 AND (turn / -4.0 < -0.8 OR turn / 2.0 > 2.4)) OR length(trim(coalesce(text, ''))) < 5 OR CASE WHEN length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) = 0 THEN true ELSE {_LETTERS} / length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) < 0.3 END AS is_dirty FROM conversations""")
+def dirty_transcripts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    dirty = X.dirty_transcript(F.col("text"), F.col("turn") / -4.0, F.col("turn") / 2.0, F.lit(False))
+    return rows.select("conv_id", "turn", dirty.alias("is_dirty"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN d IS NULL THEN 1.0 WHEN d < 15 THEN 3.0 WHEN d <= 45 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS rate, CASE WHEN d >= 96 THEN 3 WHEN d >= 64 THEN 2 WHEN d >= 32 THEN 1 ELSE 0 END + CASE WHEN d IN (32, 64, 96) THEN 0 ELSE 1 END AS n_tries FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS d FROM events)")
+def sampling_rates(spark, sf_dir):
+    d = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", G.adaptive_rate(d).alias("rate"), F.size(G.retry_schedule(d, (32, 64, 96))).cast("int").alias("n_tries"))
+
+
+@query("SELECT o_orderkey, CASE WHEN v >= 1000000 THEN regexp_replace(printf('%.1f', v / 1e6), '\\.0$', '') || 'M' WHEN v >= 1000 THEN regexp_replace(printf('%.1f', v / 1e3), '\\.0$', '') || 'k' ELSE CAST(floor(v)::BIGINT AS VARCHAR) END AS compact FROM (SELECT o_orderkey, floor(o_totalprice) + 0.25 AS v FROM orders)")
+def compact_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.compact(F.floor("o_totalprice") + F.lit(0.25)).alias("compact"))
+
+
+@query(f"""WITH {MEMBERS}, {SHAPES}, i AS (SELECT unnest(range(8)) AS i) SELECT cluster_id, i AS pos, round(cx + rx * cos(i * 2 * pi() / 8) * cos(angle) - ry * sin(i * 2 * pi() / 8) * sin(angle), 5) AS x, round(cy + rx * cos(i * 2 * pi() / 8) * sin(angle) + ry * sin(i * 2 * pi() / 8) * cos(angle), 5) AS y FROM shapes, i""")
+def ellipse_perimeter(spark, sf_dir):
+    _, shapes = profiles.layout(members(spark, sf_dir).withColumnRenamed("vec_id", "user_id"))
+    points = G.perimeter(F.col("cx"), F.col("cy"), F.col("rx"), F.col("ry"), F.col("angle"), 8)
+    return shapes.select("cluster_id", F.posexplode(points).alias("pos", "p")).select("cluster_id", F.col("pos").cast("long").alias("pos"), F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
+@query("SELECT doc_id, CASE source WHEN 'src1' THEN 'tag count' WHEN 'src2' THEN 'tag length' ELSE 'X' || source END AS warning FROM documents")
+def warning_labels(spark, sf_dir):
+    code = F.when(F.col("source").isin("src1", "src2"), F.replace("source", F.lit("src"), F.lit("S"))).otherwise(F.concat(F.lit("X"), "source"))
+    return table(spark, sf_dir, "documents").select("doc_id", labels.warning_name(code).alias("warning"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def purged_labels(spark, sf_dir):
+    return relational.kept_by(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"], empty_keeps_all=False)
+
+
+@query("SELECT user_id, sha256(string_agg(h, ',' ORDER BY h)) AS source_hash FROM (SELECT user_id, sha256(CAST(event_id AS VARCHAR) || '|' || coalesce(event_type, '~') || '|' || coalesce(props, '~')) AS h FROM events) GROUP BY user_id")
+def embedding_hashes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", relational.digest_of([F.col("event_id"), F.col("event_type"), F.col("props")]).alias("source_hash"))
+    return relational.table_digest(rows, ["user_id"])
+
+
+@query("SELECT s_suppkey, coalesce(n_name, 'Cluster ' || (s_nationkey + 1)) AS label FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
+def label_fallback(spark, sf_dir):
+    named = table(spark, sf_dir, "nation").where("n_regionkey < 3")
+    rows = table(spark, sf_dir, "supplier").join(named, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return rows.select("s_suppkey", F.coalesce("n_name", F.format_string("Cluster %d", F.col("s_nationkey") + 1)).alias("label"))
+
+
+@query("SELECT label, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, lower(trim(p_type || '  ' || p_size)) AS l0, regexp_replace(lower(p_type || ' ' || p_size), ' +', ' ', 'g') AS label FROM part) GROUP BY label HAVING count(DISTINCT p_partkey) > 1")
+def duplicate_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("  ", "p_type", F.col("p_size").cast("string")).alias("label"))
+    return labels.duplicate_labels(rows, "p_partkey", "label")
+
+
+@query(f"""WITH {MEMBERS} SELECT 'r' AS run_id, count(*) AS n_users, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n_clusters, 7 AS schema_version FROM mem""")
+def run_manifest(spark, sf_dir):
+    rows = members(spark, sf_dir).withColumn("run_id", F.lit("r"))
+    return serving.manifest(spark.createDataFrame([("r",)], "run_id string"), rows, 7)
+
+
+@query()
+def cluster_assignment(spark, sf_dir):
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")).where("vec_id < 1000")
+    return stages.assign(pooled, "vec_id", "embedding", 15)[0]
+
+
+@query()
+def text_embeddings(spark, sf_dir):
+    return plugins.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", plugins.HashProvider)

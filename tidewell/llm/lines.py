@@ -7,8 +7,9 @@ and lines of fewer than LEAST_CHARS characters are always kept.
 
 Emitting every one-deletion variant of every line would multiply the corpus by the mean line length. Two lines
 within one edit share their first half or their last half, so keys of halves come first, by built-in functions;
-only lines that share one with another line go on to the neighbourhood: one key for the line and one for
-each character deleted, by rolling sums in linear time. Lines with an equal key join, and Levenshtein's distance
+only lines that share one with another line go on, with their text, to keys of the line without one of PARTS parts, and
+of these again only lines that share one to the neighbourhood: one key for the line and one for each character
+deleted, by rolling sums in linear time. Lines with an equal key join, and Levenshtein's distance
 decides. Variants of one key differ in one place only, so a key holds few lines however many copies there are.
 
 Null texts stay null. Rows without id come last; rows of one id go by their text's hash, and equal rows keep the
@@ -32,6 +33,9 @@ from tidewell.llm.textkit import BROADCAST_ROWS, carried, small, written
 EDITS = 1
 LEAST_CHARS = 20
 
+#: Parts of a line that are left out in turn before single characters are.
+PARTS = 32
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,6 +47,10 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _line_id() -> Column:
+    return F.xxhash64("h1", "h2")
+
+
 def _half_keys() -> Column:
     """Keys of the first and last characters, as many as half a line's or half of one character more."""
     n = F.length("line")
@@ -52,6 +60,29 @@ def _half_keys() -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _part_keys() -> Column:
+    """Keys of the line without each of PARTS parts, cut for its own length and for that of a line longer by one."""
+    n = F.length("line")
+
+    def without(longer: int) -> Column:
+        size = n + longer
+
+        def key(j: Column) -> Column:
+            front = F.floor(j * size / PARTS).cast("int")
+            back = size - F.floor((j + 1) * size / PARTS).cast("int")
+            return F.xxhash64(size, j, F.substring(F.col("line"), F.lit(1), front), F.substring(F.col("line"), n - back + 1, back))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), key)
+
+    return F.concat(without(0), without(1))
+
+
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """id of the rows (id, key) whose key another id has too."""
+    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    return keyed.join(shared, "key", "left_semi").select("id").distinct()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _C1
     x = (x ^ (x >> np.uint64(27))) * _C2
@@ -107,14 +138,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = lines(docs, id_col, text_col)
     marks = found.select("h1", "h2", _place().alias("place"), F.length("line").alias("n"), _half_keys().alias("halves"))
     distinct = written(marks.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves")))
-    halves = distinct.select("h1", "h2", "first", F.explode("halves").alias("key"))
-    line = F.struct("h1", "h2")
-    shared = halves.groupBy("key").agg(F.min(line).alias("a"), F.max(line).alias("b")).where("a <> b").select("key")
-    candidates = written(halves.join(shared, "key", "left_semi").select("h1", "h2", "first").distinct())
-    wanted = small(candidates.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.no").alias("no"), "first"))
+    candidates = written(_sharing(distinct.select(_line_id().alias("id"), F.explode("halves").alias("key"))))
     at = ["h1", "h2"]
-    texts = found.join(wanted.select(*at, "first"), at).where(_place() == F.col("first")).dropDuplicates(at)
-    texts = written(texts.select(F.xxhash64("h1", "h2").alias("id"), "h1", "h2", "first", "line"))
+    wanted = written(distinct.withColumn("id", _line_id()).join(small(candidates), "id", "left_semi").select("id", *at, "first"))
+    texts = found.join(small(wanted), at).where(_place() == F.col("first")).dropDuplicates(at)
+    texts = written(texts.select("id", *at, "first", "line"))
+    closer = written(_sharing(texts.select("id", F.explode(_part_keys()).alias("key"))))
+    texts = written(texts.join(small(closer), "id", "left_semi"))
     keyed = texts.select("id", "line").repartition("id").mapInArrow(_neighbourhood, KEYED)
     pairs = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")))
     pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.rules import let
-from tidewell.llm.textkit import BROADCAST_ROWS, carried, small, written
+from tidewell.llm.textkit import carried, small, written
 
 EDITS = 1
 LEAST_CHARS = 20
@@ -162,7 +162,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines in text, and n_lines and n_dropped, as longs; columns of those names are replaced."""
     gone = written(dropped_lines(docs, id_col, text_col))
-    gone = small(gone.select(F.col("doc_id").alias("of"), F.col("th").alias("of_hash"), "gone"), BROADCAST_ROWS // 4)
+    # about as many rows as documents with a repeated line, so it is never small where the corpus is large
+    gone = gone.select(F.col("doc_id").alias("of"), F.col("th").alias("of_hash"), "gone")
     rows = carried(docs, id_col, text_col)
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
     cut = F.split("text", "\n")

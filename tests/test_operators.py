@@ -366,3 +366,19 @@ def test_rendering(spark, tmp_path):
     assert labels.roster(names).first()["body"] == "0: A []\n1: B [x; y]"
     serving.write_atomically("{}", str(tmp_path / "m.json"), spark)
     assert (tmp_path / "m.json").read_text() == "{}\n"
+
+
+def test_numbered(spark):
+    from pyspark.sql import Window
+
+    from tidewell.operators.ranking import numbered
+
+    random = np.random.default_rng(3)
+    rows = [(int(random.integers(3)), i, None if i % 17 == 0 else float(random.choice([0.0, -5.0, 2.5, random.lognormal(5, 3)]))) for i in range(600)] + [(None, 601, 1.0), (9, 602, None)]
+    frame = spark.createDataFrame(rows, "k long, id long, v double")
+    for down in (False, True):
+        order = F.desc_nulls_last("v") if down else F.asc_nulls_last("v")
+        expected = frame.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(order, "id")).cast("long")).withColumn("m", F.rank().over(Window.partitionBy("k").orderBy(order)).cast("long"))
+        got = numbered(numbered(frame, ["k"], "v", [F.asc("id")], "n", down), ["k"], "v", None, "m", down)
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert numbered(frame.limit(0), ["k"], "v", None, "n").count() == 0

@@ -27,7 +27,7 @@ def with_mad(frame: DataFrame, keys: list[str], column: str) -> DataFrame:
 def user_stats(clips: DataFrame) -> DataFrame:
     """Counts, plays, spread, concentration and cadence of each account; accounts without clips have no row."""
     logged = clips.withColumn("log_plays", F.log1p("play_count"))
-    spread = with_mad(logged, ["user_id"], "log_plays").select("user_id", F.col("mad").alias("log_plays_mad"))
+    spread = with_mad(logged.select("user_id", "log_plays"), ["user_id"], "log_plays").select("user_id", F.col("mad").alias("log_plays_mad"))
     days = (F.max("taken_at") - F.min("taken_at")) / 86400.0
     median, top, total = F.median("play_count"), F.max("play_count"), F.sum("play_count")
     out = logged.groupBy("user_id").agg(
@@ -122,7 +122,7 @@ def leave_one_out(frame: DataFrame, cohort: str, member: str, feature: str) -> D
 def selection_pool(clips: DataFrame, k: int, share: float) -> DataFrame:
     """user_id, clip_id, pool_rank: an account's most played clips, k or a share of them, whichever is more."""
     n = F.count("*").over(Window.partitionBy("user_id"))
-    top = ranked(clips.withColumn("_n", n), ["user_id"], [F.desc_nulls_last("play_count"), F.asc("clip_id")], "pool_rank")
+    top = ranked(clips.select("user_id", "clip_id", "play_count", n.alias("_n")), ["user_id"], [F.desc_nulls_last("play_count"), F.asc("clip_id")], "pool_rank")
     return top.where(F.col("pool_rank") <= F.greatest(F.lit(k), F.ceil(F.col("_n") * share))).select("user_id", "clip_id", "pool_rank")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranking import numbered
+
 
 def long_form(frame: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """keys, pos, value: a row for each component."""
@@ -124,6 +126,7 @@ def member_distances(frame: DataFrame, label: str, x: str, y: str) -> DataFrame:
 
 def centroid_percentile(frame: DataFrame, label: str, distance: str = "distance") -> DataFrame:
     """frame with percentile: the share of the label's members that are nearer, in percent."""
-    n = F.count("*").over(Window.partitionBy(label))
-    rank = F.rank().over(Window.partitionBy(label).orderBy(distance))
-    return frame.withColumn("percentile", F.when(n <= 1, 0.0).otherwise(F.lit(100.0) * (rank - 1) / F.nullif(n - 1, F.lit(0))))
+    sizes = frame.groupBy(label).agg(F.count("*").alias("_members"))
+    ranked = numbered(frame, [label], distance, None, "_rank").join(sizes, label)
+    percent = F.when(F.col("_members") <= 1, 0.0).otherwise(F.lit(100.0) * (F.col("_rank") - 1) / F.nullif(F.col("_members") - 1, F.lit(0)))
+    return ranked.withColumn("percentile", percent).drop("_rank", "_members")

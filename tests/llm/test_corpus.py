@@ -180,7 +180,10 @@ def test_rollup(spark, tmp_path):
     assert store.totals().count() == 0
     assert store.commit("one", rollups.inserts(old)) and not store.commit("one", rollups.inserts(old))
     delta = rollups.changes(old, new)
-    assert {r["doc_id"]: (r["old"] is None, r["new"] is None) for r in delta.collect()} == {1: (False, False), 2: (False, True), 4: (False, True), 5: (True, False)}
+    assert sorted((r["doc_id"], r["times"]) for r in delta.collect()) == [(1, -1), (1, 1), (2, -1), (4, -1), (5, 1)]
+    twice = spark.createDataFrame([(1, "a", "en", "v1", 4), (1, "a", "en", "v1", 4), (None, "a", "en", "v1", 2)], kinds)
+    once = spark.createDataFrame([(1, "a", "en", "v1", 4), (None, "a", "en", "v2", 2)], kinds)
+    assert sorted(map(tuple, rollups.signed(rollups.changes(twice, once)).collect())) == [("a", "en", "v1", -2, -6), ("a", "en", "v2", 1, 2)]
     assert store.commit("two", delta) and not store.commit("two", delta)
     assert store.commit("empty", delta.limit(0))
     totals = {tuple(r)[:3]: tuple(r)[3:] for r in rollups.Rollup(spark, str(tmp_path / "r")).totals().collect()}

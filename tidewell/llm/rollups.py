@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,32 +24,25 @@ STATE = (*KEYS, "n_tokens")
 DELTA = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS], T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
-def _state(alias: str) -> Column:
-    return F.struct(*[F.col(f"{alias}.{name}") for name in STATE])
-
-
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, old, new) for documents whose state differs; doc_id is a key of both frames, states are structs of STATE.
+    """doc_id, STATE and times: how often each state is added, or, if negative, taken off, from old to new.
 
-    A document only in new is an insert, with old null; only in old a delete; in both, a revision.
+    A state only in new is an insert, only in old a delete; a document in both with another state has one row of each,
+    its revision. Rows that repeat on one side count as often as they do.
     """
-    both = old.alias("o").join(new.alias("n"), F.col("o.doc_id") == F.col("n.doc_id"), "full_outer")
-    was = F.when(F.col("o.doc_id").isNotNull(), _state("o"))
-    now = F.when(F.col("n.doc_id").isNotNull(), _state("n"))
-    return both.select(F.coalesce("o.doc_id", "n.doc_id").alias("doc_id"), was.alias("old"), now.alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    side = lambda frame, sign: frame.select("doc_id", *STATE, F.lit(sign).alias("times"))
+    rows = side(old, -1).unionAll(side(new, 1))
+    return rows.groupBy("doc_id", *STATE).agg(F.sum("times").alias("times")).where("times <> 0")
 
 
 def inserts(new: DataFrame) -> DataFrame:
     """Every row of new as an insert."""
-    now = F.struct(*STATE)
-    return new.select("doc_id", F.when(F.lit(False), now).alias("old"), now.alias("new"))
+    return new.select("doc_id", *STATE, F.lit(1).cast("long").alias("times"))
 
 
 def signed(batch: DataFrame) -> DataFrame:
     """The batch's sums by KEYS: n_docs and n_tokens may be negative."""
-    parts = F.filter(F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("state")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("state"))), lambda p: p["state"].isNotNull())
-    rows = batch.select(F.explode(parts).alias("p")).select("p.sign", "p.state.*")
-    return _summed(rows.select(*KEYS, F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens")))
+    return _summed(batch.select(*KEYS, F.col("times").alias("n_docs"), (F.col("times") * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens")))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -79,7 +72,7 @@ class Rollup:
         return {name: data for name, data in out.items() if data}
 
     def commit(self, batch_id: str, batch: DataFrame) -> bool:
-        """Adds a batch of (old, new) states; False, and nothing changes, if a batch of that id is committed already."""
+        """Adds a batch of changes; False, and nothing changes, if a batch of that id is committed already."""
         if batch_id in self.committed():
             return False
         name = f"{batch_id}-{uuid.uuid4().hex}"

@@ -46,7 +46,7 @@ def path(url: Column) -> Column:
 
 
 def rule(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column:
-    """The longest rule that fits, null if none does. Of two equally long ones the greater string counts."""
+    """The longest rule that fits, null if none does. Of two equally long ones the smaller string counts."""
     fits = []
     for name in sorted(rules, key=lambda r: (-len(r), r)):
         domain, _, rest = name.partition("/")

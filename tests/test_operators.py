@@ -382,3 +382,47 @@ def test_numbered(spark):
         got = numbered(numbered(frame, ["k"], "v", [F.asc("id")], "n", down), ["k"], "v", None, "m", down)
         assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     assert numbered(frame.limit(0), ["k"], "v", None, "n").count() == 0
+
+
+PAGES = {None: ("first", "a"), "a": ("second", None)}
+
+
+def pages(name, cursor):
+    body, following = PAGES[cursor]
+    return f"{name} {body}", following
+
+
+def test_paged_profiles(spark):
+    spark.dataSource.register(readers.PagedProfiles)
+    found = spark.read.format("paged_profiles").option("names", "x,y").option("client", "tests.test_operators:pages").load()
+    assert sorted(map(tuple, found.collect())) == [("x", 0, "x first"), ("x", 1, "x second"), ("y", 0, "y first"), ("y", 1, "y second")]
+    one = spark.read.format("paged_profiles").option("names", "x").option("client", "tests.test_operators:pages").option("max_pages", "1").load()
+    assert one.count() == 1
+
+
+def test_parsed_names(spark):
+    frame = spark.createDataFrame([('[{"cluster_id":1,"label":"A B"}]',), ('{"labels":[{"cluster_id":2,"label":"C D"}]}',), ("no",)], "r string")
+    assert [[tuple(x) for x in r[0] or []] for r in frame.select(labels.parsed_names(F.col("r"))).collect()] == [[(1, "A B")], [(2, "C D")], []]
+    segments = spark.createDataFrame([([(0.0, 1.5), (2.0, 2.25)],), ([],)], "s array<struct<start:double,end:double>>")
+    assert [r[0] for r in segments.select(plugins.speech_seconds(F.col("s"))).collect()] == [1.75, 0.0]
+
+
+def test_reduce(spark):
+    rows = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(10)], "k long, v array<double>")
+    reduced = clusters.reduce_dimensions(rows, "k", "v", 1).orderBy("k").collect()
+    steps = np.diff([r["reduced"][0] for r in reduced])
+    assert np.allclose(np.abs(steps), np.sqrt(5))
+
+
+def test_windowed_counts(spark, tmp_path):
+    from tidewell.streaming import incremental
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    run = incremental.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("daily").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    assert spark.table("daily").agg(F.sum("n")).first()[0] == source.count()

@@ -35,6 +35,9 @@ SAMPLE_ROWS = 2000
 SAMPLE_CHUNKS = 8
 EPOCHS = 20
 
+#: Blocks that are looked at together, so that a long document needs little more memory than its text.
+SLICE = 4096
+
 #: Places of a block's windows, and those of a document's last block that would reach past its end.
 PLACES = BLOCK // 2
 OUTSIDE = (WIDTH - 2) // 2
@@ -71,16 +74,19 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def chunk_maxima(tables: list[np.ndarray], buffer: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Each filter's maximum in the chunk that starts at each block; a text's last chunk is its last block."""
     pairs = buffer[0::2].astype(np.int32) * 256 + buffer[1::2]
-    n = first[-1] * PLACES
-    out = tables[0][pairs[:n]]
-    for k, one in enumerate(tables[1:], 1):
-        out += one[pairs[k : n + k]]
-    out = out.reshape(-1, PLACES, out.shape[1])
-    out[first[1:] - 1, PLACES - OUTSIDE :] = -np.inf
-    best = out.max(axis=1)
+    last = first[1:] - 1
+    best = np.empty((first[-1], tables[0].shape[1]), np.float32)
+    for a in range(0, first[-1], SLICE):
+        b = min(a + SLICE, first[-1])
+        out = tables[0][pairs[a * PLACES : b * PLACES]]
+        for k, one in enumerate(tables[1:], 1):
+            out += one[pairs[a * PLACES + k : b * PLACES + k]]
+        out = out.reshape(-1, PLACES, out.shape[1])
+        out[last[(last >= a) & (last < b)] - a, PLACES - OUTSIDE :] = -np.inf
+        best[a:b] = out.max(axis=1)
     chunk = best.copy()
     chunk[:-1] = np.maximum(best[:-1], best[1:])
-    chunk[first[1:] - 1] = best[first[1:] - 1]
+    chunk[last] = best[last]
     return chunk
 
 

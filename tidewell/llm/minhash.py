@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.textkit import GROUP_BYTES, utf8_views, written
+from tidewell.llm.textkit import GROUP_BYTES, pieces, utf8_views, written
 
 SHINGLE_WORDS = 5
 BINS = 512
@@ -98,15 +98,21 @@ def _probe(attempt: int) -> np.ndarray:
     return _probes[attempt]
 
 
-def packed(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row of BINS * BITS / 8 bytes for each text."""
-    empty = np.uint64(2**64 - 1)
-    bins = np.full(len(counts) * BINS, empty)
+EMPTY = np.uint64(2**64 - 1)
+
+
+def binned(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least hash in each bin of each text; EMPTY in bins that none fell in."""
+    bins = np.full(len(counts) * BINS, EMPTY)
     text = np.repeat(np.arange(len(counts)), counts)
     at = text * BINS + (shingles >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
     np.minimum.at(bins, at, shingles & np.uint64((1 << (64 - (BINS - 1).bit_length())) - 1))
-    bins = bins.reshape(-1, BINS)
-    full = bins != empty
+    return bins.reshape(-1, BINS)
+
+
+def packed(bins: np.ndarray) -> np.ndarray:
+    """Densified low bits: a row of BINS * BITS / 8 bytes for each text; one bin at least is full."""
+    full = bins != EMPTY
     out = bins.copy()
     rows, columns = np.nonzero(~full)
     attempt = 0
@@ -117,7 +123,22 @@ def packed(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         rows, columns, attempt = rows[~found], columns[~found], attempt + 1
     low = (_mix(out) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     bits = np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - BITS :]
-    return np.packbits(bits.reshape(len(counts), -1), axis=1)
+    return np.packbits(bits.reshape(len(bins), -1), axis=1)
+
+
+def _words(text: bytes) -> np.ndarray:
+    return word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+
+def _binned_in_pieces(text: bytes) -> np.ndarray:
+    """binned() of one long text; a piece takes the last words of the one before it along."""
+    bins, last = np.full((1, BINS), EMPTY), np.zeros(0, np.uint64)
+    for piece in pieces(text):
+        words = np.concatenate((last, _words(piece)))
+        if len(words) >= SHINGLE_WORDS:
+            bins = np.minimum(bins, binned(*shingle_hashes(words, np.array([len(words)]))))
+        last = words[1 - SHINGLE_WORDS :]
+    return bins if (bins != EMPTY).any() else binned(*shingle_hashes(last, np.array([len(last)])))
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -129,8 +150,11 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         while j < len(texts) and (j == i or size + len(texts[j]) <= GROUP_BYTES):
             size += len(texts[j])
             j += 1
-        edges = np.concatenate(([0], np.cumsum([len(t) for t in texts[i:j]]))).astype(np.int64)
-        out[i:j] = packed(*shingle_hashes(*word_hashes(np.frombuffer(b"".join(texts[i:j]), np.uint8), edges)))
+        if j == i + 1:
+            out[i:j] = packed(_binned_in_pieces(texts[i]))
+        else:
+            edges = np.concatenate(([0], np.cumsum([len(t) for t in texts[i:j]]))).astype(np.int64)
+            out[i:j] = packed(binned(*shingle_hashes(*word_hashes(np.frombuffer(b"".join(texts[i:j]), np.uint8), edges))))
         i = j
     return out
 

@@ -46,6 +46,20 @@ def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def pieces(text: bytes, limit: int = GROUP_BYTES) -> Iterator[bytes]:
+    """text in parts of about ``limit`` bytes, cut before spaces that follow a visible ASCII character."""
+    start = 0
+    while len(text) - start > 2 * limit:
+        at = text.find(b" ", start + limit)
+        while at > 0 and not 0x21 <= text[at - 1] <= 0x7E:
+            at = text.find(b" ", at + 1)
+        if at < 0:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of bytes; data is cut at offsets."""
     kind, width = (pa.binary(), np.int32) if offsets[-1] < 2**31 else (pa.large_binary(), np.int64)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from tests.conftest import SF
-from tidewell.llm import components, minhash, queries, simhash
+from tidewell.llm import components, minhash, queries, simhash, textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,10 +121,11 @@ def test_links_are_complete(spark):
             prints.add(changed)
     signed = {f - 2**64 if f >= 2**63 else f: f for f in prints}
     frame = spark.createDataFrame([(f,) for f in signed], "fingerprint long")
-    found = [tuple(sorted((signed[r["a"]], signed[r["b"]]))) for r in simhash.links(frame).collect()]
     ordered = sorted(prints)
-    assert len(found) == len(set(found))
-    assert set(found) == {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 2}
+    expected = {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 2}
+    for crowd in (simhash.CROWD, 3, 0):
+        found = [tuple(sorted((signed[r["a"]], signed[r["b"]]))) for r in simhash.links(frame, crowd).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
 
 
 def test_components(spark):
@@ -145,3 +146,17 @@ def test_simhash_edges(spark):
     twice = simhash.representatives(frame.where("doc_id = 7"))
     assert twice.count() == 1
     assert simhash.near_duplicates(frame.limit(0)).count() == simhash.representatives(frame.limit(0)).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    random.seed(8)
+    texts = [" ".join(random.choice(["one", "Two", "trois\n", "é", "\t4"]) + str(random.randrange(50)) for _ in range(n)) for n in (1, 3, 4, 200, 5000)] + ["x" * 3000, "", " a " * 900]
+    whole = minhash.fingerprints([t.encode() for t in texts])
+    prints = [simhash.fingerprint_of(t.encode()) for t in texts]
+    assert prints == [brute_simhash(t) for t in texts]
+    cut = lambda text: textkit.pieces(text, 64)
+    monkeypatch.setattr(minhash, "pieces", cut)
+    monkeypatch.setattr(simhash, "pieces", cut)
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 0)
+    assert (minhash.fingerprints([t.encode() for t in texts]) == whole).all()
+    assert [simhash.fingerprint_of(t.encode()) for t in texts] == prints

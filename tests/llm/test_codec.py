@@ -83,3 +83,14 @@ def test_edges(spark):
     rows = frame.select("doc_id", bpe.encode(vocabulary, F.col("text")).alias("packed")).withColumn("decoded", bpe.decode(vocabulary, F.col("packed")))
     assert sorted((r["doc_id"], bytes(r["decoded"])) for r in rows.collect()) == [(1, b""), (2, b""), (2, b"x"), (2, b"x")]
     assert frame.limit(0).select(bpe.encode(vocabulary, F.col("text"))).count() == 0
+
+
+def test_long_texts_in_pieces(spark, library, monkeypatch):
+    random.seed(9)
+    text = "".join(random.choice(["word", " ", "  ", "\n", "é ", "\u00a0 ", "'s ", "9", "!? "]) for _ in range(400_000))
+    assert b"".join(bpe.pieces(text.encode(), 1000)) == text.encode() and len(list(bpe.pieces(text.encode(), 1000))) > 100
+    vocabulary = bpe.load_vocabulary(spark, PATH)
+    rows = spark.createDataFrame([(1, text * 6), (2, "x")], "doc_id long, text string").select("doc_id", bpe.encode(vocabulary, F.col("text")).alias("ids"), "text")
+    rows = rows.withColumn("decoded", bpe.decode(vocabulary, F.col("ids"))).collect()
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"]) and bytes(r["decoded"]).decode() == r["text"]

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.textkit import binary_array, groups, utf8_views
+from tidewell.llm.textkit import GROUP_BYTES, binary_array, groups, pieces, utf8_views
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -278,13 +278,21 @@ def encode(vocabulary: Broadcast, text: Column) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             data, offsets = utf8_views(column)
-            parts, counts = [], []
-            for i, j in groups(offsets):
-                got, count = vocabulary.value.encoded(data[offsets[i] : offsets[j]].tobytes(), offsets[i : j + 1] - offsets[i])
-                parts.append(got)
-                counts.append(count)
-            sizes = np.concatenate([[0], *counts]).astype(np.int64) * 4
-            yield binary_array(np.concatenate([np.zeros(0, np.uint32), *parts]).astype("<u4").view(np.uint8), np.cumsum(sizes))
+            parts, sizes = [], np.zeros(len(column) + 1, np.int64)
+            for i, j in groups(offsets, GROUP_BYTES // 2):
+                raw = data[offsets[i] : offsets[j]].tobytes()
+                if j == i + 1:  # maybe a long text; a pre-token ends before each space that follows a visible character
+                    for piece in pieces(raw):
+                        got, _ = vocabulary.value.encoded(piece, np.array([0, len(piece)]))
+                        parts.append(got.astype("<u4", copy=False).tobytes())
+                        sizes[j] += len(parts[-1])
+                    continue
+                got, count = vocabulary.value.encoded(raw, offsets[i : j + 1] - offsets[i])
+                parts.append(got.astype("<u4", copy=False).tobytes())
+                sizes[i + 1 : j + 1] = 4 * count
+            packed = b"".join(parts)
+            del parts
+            yield binary_array(np.frombuffer(packed, np.uint8), np.cumsum(sizes))
 
     return ids(text)
 
@@ -296,11 +304,18 @@ def decode(vocabulary: Broadcast, ids: Column) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             data, offsets = utf8_views(column)
-            parts, edges = [], [np.zeros(1, np.int64)]
-            for i, j in groups(offsets):
-                got, at = vocabulary.value.decoded(np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u4"))
-                parts.append(got)
-                edges.append(at[(offsets[i + 1 : j + 1] - offsets[i]) >> 2] + edges[-1][-1])
-            yield binary_array(np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate(edges))
+            parts, edges = [], np.zeros(len(column) + 1, np.int64)
+            for i, j in groups(offsets, GROUP_BYTES // 2):
+                ids = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u4")
+                if j == i + 1:
+                    parts += [vocabulary.value.decoded(ids[k : k + GROUP_BYTES])[0].tobytes() for k in range(0, len(ids), GROUP_BYTES)]
+                    edges[j] = edges[i] + vocabulary.value.id_size[ids].sum()
+                    continue
+                got, at = vocabulary.value.decoded(ids)
+                parts.append(got.tobytes())
+                edges[i + 1 : j + 1] = at[(offsets[i + 1 : j + 1] - offsets[i]) >> 2] + edges[i]
+            packed = b"".join(parts)
+            del parts
+            yield binary_array(np.frombuffer(packed, np.uint8), edges)
 
     return text(ids)

@@ -63,8 +63,9 @@ def pieces(text: bytes, limit: int = GROUP_BYTES) -> Iterator[bytes]:
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of bytes; data is cut at offsets."""
     kind, width = (pa.binary(), np.int32) if offsets[-1] < 2**31 else (pa.large_binary(), np.int64)
-    buffers = [None, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]
-    return pa.Array.from_buffers(kind, len(offsets) - 1, buffers).cast(pa.binary())
+    buffers = [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(np.ascontiguousarray(data))]
+    found = pa.Array.from_buffers(kind, len(offsets) - 1, buffers)
+    return found if width is np.int32 else found.cast(pa.binary())
 
 
 def shared_folder(spark: SparkSession) -> str:

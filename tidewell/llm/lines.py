@@ -150,7 +150,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"), F.struct(*at).alias("key_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"), F.struct(*at).alias("key_b"))
-    close = pairs.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", EDITS) >= 0)
+    # lines may be long and yet small on disk, so they are never broadcast
+    close = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.levenshtein("line_a", "line_b", EDITS) >= 0)
     near = close.select(F.when(F.col("first_a") > F.col("first_b"), F.col("key_a")).otherwise(F.col("key_b")).alias("key")).select("key.*").distinct()
     near = near.withColumn("near", F.lit(True))
     repeated = distinct.join(near, at, "left").where("near OR copies > 1")

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, lines, mixing, rules, simhash
+from tidewell.llm import bpe, lines, mixing, rules, similar
 from tidewell.llm.textkit import written
 from tidewell.session import table
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.representatives(docs)
+    """One document of each group that pairs of Jaccard similarity 0.8 or more (five-word shingles) connect."""
+    return similar.representatives(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Learned rules, Levenshtein classes over a deletion index, SimHash and BPE are beyond SQL; tests compare them with brute force.
+#: Learned rules, Levenshtein classes over a deletion index, similarity joins and BPE are beyond SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 

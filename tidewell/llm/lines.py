@@ -2,8 +2,9 @@
 
 A line is dropped if the same line, or one within EDITS = 1 insertions, deletions or substitutions of a
 character, stands earlier in the corpus: in a row of smaller doc_id, or before it in the same text. The earliest of
-equal lines is compared for all of them, and a line that is itself dropped still drops later ones. Blank lines
-and lines of fewer than LEAST_CHARS characters are always kept.
+equal lines is compared for all of them, and a line that is itself dropped still drops later ones. Only blank lines
+are always kept: any line of LEAST_CHARS = 1 characters or more is compared, so a line of one character that is not
+the corpus's first such line goes.
 
 Emitting every one-deletion variant of every line would multiply the corpus by the mean line length. Two lines
 within one edit share their first half or their last half, so keys of halves come first, by built-in functions;
@@ -31,7 +32,7 @@ from tidewell.llm.rules import let
 from tidewell.llm.textkit import carried, small, written
 
 EDITS = 1
-LEAST_CHARS = 20
+LEAST_CHARS = 1
 
 #: Parts of a line that are left out in turn before single characters are.
 PARTS = 32

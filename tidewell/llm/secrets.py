@@ -5,16 +5,17 @@ dropped after the search. Positions are running lengths of the pieces between ma
 exclusive.
 
 The method adds spans of random-looking strings that no base span touches. A candidate is a maximal run of
-letters, digits and + / _ - = of 20 to 512 characters; its encoding is inferred from its characters as hex,
-base32 or base64. Three tests compare it with ordinary text of the same length:
+letters, digits and + / _ - = of 20 characters or more; its alphabet is inferred as hex, base32, or the classes of
+characters in it (capitals, small letters, digits, + and /, _ and -). Three tests compare it with ordinary text of the same length:
 
 * runs: changes between letters and digits, of which ordinary text has few; gives a p-value under ordinary text,
-* chi-squared: the spread over eight parts of the inferred alphabet, against a uniform draw,
+* chi-squared: the spread over eight parts of the inferred alphabet, against a uniform draw from it,
 * serial correlation of neighbouring alphabet positions, which a uniform draw keeps near zero.
 
 The runs' p-values go through a step-up false-discovery procedure in their document, with weights in proportion
 to length, as a longer string tells more. What passes is a finding unless chi-squared or correlation rejects a
-uniform draw at 0.001.
+uniform draw at 0.001. Longer strings are tested in windows of equal length, WINDOW at most, that cover them, and
+are a finding if half of the windows or more are not rejected.
 
 Null and empty texts give no spans. Repeated rows are searched alike. Only the named id and text are read.
 """
@@ -37,7 +38,7 @@ ACCESS_KEPT = "AKIA[A-Z0-9]{16,}"
 HEX_KEPT = "[0-9a-f]{24,}"
 
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-LONGEST_CANDIDATE = 512
+WINDOW = 512
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -95,7 +96,9 @@ def looks_random(token: Column) -> Column:
     """Whether neither the chi-squared nor the serial-correlation test rejects a uniform draw from the inferred alphabet."""
     hexadecimal = token.rlike("^[0-9a-f-]+$") | token.rlike("^[0-9A-F-]+$")
     base32 = token.rlike("^[A-Z2-7=]+$")
-    alphabet = F.when(hexadecimal, F.lit("0123456789abcdef")).when(base32, F.lit("abcdefghijklmnopqrstuvwxyz234567")).otherwise(F.lit(LETTERS + "0123456789+/_-"))
+    classes = (("[A-Z]", LETTERS[:26]), ("[a-z]", LETTERS[26:]), ("[0-9]", "0123456789"), ("[+/]", "+/"), ("[_-]", "_-"))
+    present = F.concat(*[F.when(token.rlike(pattern), F.lit(symbols)).otherwise(F.lit("")) for pattern, symbols in classes])
+    alphabet = F.when(hexadecimal, F.lit("0123456789abcdef")).when(base32, F.lit("abcdefghijklmnopqrstuvwxyz234567")).otherwise(present)
     body = F.when(hexadecimal | base32, F.lower(token)).otherwise(token)
 
     def tested(setup: Column) -> Column:
@@ -104,15 +107,26 @@ def looks_random(token: Column) -> Column:
 
         def measured(x: Column) -> Column:
             n = F.greatest(F.size(x), F.lit(2)).cast("double")
-            counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.size(F.filter(x, lambda v: F.floor(v * 8 / size) == k)))
-            chi = F.aggregate(counts, F.lit(0.0), lambda total, c: total + (c - n / 8) * (c - n / 8) / (n / 8))
+
+            def part(k: Column) -> Column:
+                share = F.greatest(F.ceil((k + 1) * size / 8) - F.ceil(k * size / 8), F.lit(1)) / size
+                count = F.size(F.filter(x, lambda v: F.floor(v * 8 / size) == k))
+                return (count - n * share) * (count - n * share) / (n * share)
+
+            chi = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), part), F.lit(0.0), lambda total, c: total + c)
             z_chi = (F.pow(chi / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / F.sqrt(F.lit(2 / 63))
             centre, variance = (size - 1) / 2, (size * size - 1) / 12
             products = F.transform(x, lambda v, i: F.coalesce((v - centre) * (F.get(x, i + 1) - centre), F.lit(0.0)))
             z_serial = F.aggregate(products, F.lit(0.0), lambda total, v: total + v) / (variance * F.sqrt(n - 1))
             return (_normal_tail(z_chi) >= REJECT_RANDOM) & (2 * _normal_tail(F.abs(z_serial)) >= REJECT_RANDOM)
 
-        return let(F.filter(positions, lambda v: v >= 0), measured)
+        def windows(x: Column) -> Column:
+            many = F.greatest(F.ceil(F.size(x) / WINDOW), F.lit(1)).cast("int")
+            at = lambda i: F.floor(i.cast("long") * F.size(x) / many).cast("int")
+            verdicts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: let(F.slice(x, at(i) + 1, at(i + 1) - at(i)), measured))
+            return let(verdicts, lambda v: 2 * F.size(F.filter(v, lambda one: one)) >= F.size(v))
+
+        return let(F.filter(positions, lambda v: v >= 0), windows)
 
     return let(F.struct(body.alias("body"), alphabet.alias("alphabet")), tested)
 
@@ -130,7 +144,7 @@ def random_spans(text: Column, base: Column) -> Column:
         kept = let(F.array_max(passed), lambda limit: F.filter(items, lambda x: x["q"] <= limit))
         return F.transform(F.filter(kept, lambda x: looks_random(x["span"]["token"])), lambda x: x["span"])
 
-    free = lambda s: (F.length(s["token"]) <= LONGEST_CANDIDATE) & ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     found = F.filter(spans(text, CANDIDATE, "random"), free)
     return let(found, lambda x: F.when(F.size(x) == 0, x).otherwise(let(weighed(x), controlled)))
 

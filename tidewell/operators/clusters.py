@@ -128,6 +128,24 @@ def reduce_dimensions(frame: DataFrame, key: str, vector: str, k: int) -> DataFr
     return PCA(k=k, inputCol="_v", outputCol="_r").fit(rows).transform(rows).select(key, vector_to_array("_r").alias("reduced"))
 
 
+#: Distances that are held at once.
+BLOCK = 1 << 22
+
+
+def distances(x, rows, others=None):
+    """Euclidean distances from the points x[rows] to x[others], or to all."""
+    import numpy as np
+
+    left, right = x[rows], x if others is None else x[others]
+    return np.sqrt(np.maximum((left**2).sum(1)[:, None] + (right**2).sum(1)[None] - 2 * left @ right.T, 0))
+
+
+def blocks(ids, width: int):
+    """ids in parts whose distances to ``width`` points are few enough to hold."""
+    size = max(1, BLOCK // max(1, width))
+    return [ids[i : i + size] for i in range(0, len(ids), size)]
+
+
 def density_labels(points, min_cluster_size: int, min_samples: int | None = None, leaf: bool = False, max_share: float = 0.0):
     """(labels, probabilities) of a matrix by hierarchical density clustering on Euclidean distance; -1 is noise.
 
@@ -140,15 +158,15 @@ def density_labels(points, min_cluster_size: int, min_samples: int | None = None
     n = len(x)
     if n < max(2, min_cluster_size):
         raise ValueError("fewer points than a cluster needs")
-    d = np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (x**2).sum(1)[None]) - 2 * x @ x.T, 0))
-    core = np.sort(d, axis=1)[:, min(n - 1, min_samples or min_cluster_size)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    nth = min(n - 1, min_samples or min_cluster_size)
+    core = np.concatenate([np.partition(distances(x, rows), nth, axis=1)[:, nth].copy() for rows in blocks(np.arange(n), n)])
     done, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     edges, at = [], 0
     for _ in range(n - 1):
         done[at] = True
-        nearer = ~done & (reach[at] < best)
-        best[nearer], link[nearer] = reach[at][nearer], at
+        reach = np.maximum(distances(x, [at])[0], np.maximum(core[at], core))
+        nearer = ~done & (reach < best)
+        best[nearer], link[nearer] = reach[nearer], at
         at = int(np.where(done, np.inf, best).argmin())
         edges.append((best[at], link[at], at))
     edges.sort()
@@ -272,23 +290,24 @@ def validity(points, labels) -> float:
     ids = [c for c in np.unique(labels) if c >= 0 and (labels == c).sum() > 1]
     if len(ids) < 2:
         return 0.0
-    d = np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (x**2).sum(1)[None]) - 2 * x @ x.T, 0))
     core = np.zeros(n)
     for c in ids:
         own = np.flatnonzero(labels == c)
-        near = d[np.ix_(own, own)].copy()
-        np.fill_diagonal(near, np.inf)
-        core[own] = (np.power(np.maximum(near, 1e-12), -float(x.shape[1])).sum(1) / (len(own) - 1)) ** (-1.0 / x.shape[1])
+        for rows in blocks(own, len(own)):
+            near = distances(x, rows, own)
+            near[rows[:, None] == own[None]] = np.inf
+            core[rows] = (np.power(np.maximum(near, 1e-12), -float(x.shape[1])).sum(1) / (len(own) - 1)) ** (-1.0 / x.shape[1])
     total = 0.0
     for c in ids:
         own = np.flatnonzero(labels == c)
-        reach = np.maximum(d[np.ix_(own, own)], np.maximum(core[own][:, None], core[own][None]))
         best, done, at, sparse = np.full(len(own), np.inf), np.zeros(len(own), bool), 0, 0.0
         for _ in range(len(own) - 1):
             done[at] = True
-            best = np.where(done, np.inf, np.minimum(best, reach[at]))
+            reach = np.maximum(distances(x, own[[at]], own)[0], np.maximum(core[own[at]], core[own]))
+            best = np.where(done, np.inf, np.minimum(best, reach))
             at = int(best.argmin())
             sparse = max(sparse, best[at])
-        apart = min(np.maximum(d[np.ix_(own, rest)], np.maximum(core[own][:, None], core[rest][None])).min() for rest in (np.flatnonzero(labels == o) for o in ids if o != c))
+        rest = np.flatnonzero(np.isin(labels, ids) & (labels != c))
+        apart = min(np.maximum(distances(x, rows, rest), np.maximum(core[rows][:, None], core[rest][None])).min() for rows in blocks(own, len(rest)))
         total += len(own) / n * (apart - sparse) / max(apart, sparse, 1e-12)
     return float(total)

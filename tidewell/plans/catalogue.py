@@ -16,6 +16,9 @@ from tidewell.plans.adapters import CLIPS, FLAGS, MEMBERS, POOL, SETTINGS, SHAPE
 from tidewell.session import table
 from tidewell.sources import readers
 
+#: Dimensions that clustering keeps, as the reference's champion does (config.toml:89-92).
+COMPONENTS = 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -587,8 +590,8 @@ def creator_profiles(spark, sf_dir):
 @query()
 def hdbscan_search(spark, sf_dir):
     runs = clusters.grid(spark, {"min_cluster_size": [8, 15], "leaf": [False, True]})
-    pooled = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")).where("vec_id < 2000")
-    return clusters.search(pooled, "vec_id", "embedding", runs)
+    pooled = clusters.reduce_dimensions(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COMPONENTS)
+    return clusters.search(pooled, "vec_id", "reduced", runs)
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -685,8 +688,8 @@ def run_manifest(spark, sf_dir):
 
 @query()
 def cluster_assignment(spark, sf_dir):
-    pooled = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")).where("vec_id < 1000")
-    return stages.assign(pooled, "vec_id", "embedding", 15)[0]
+    pooled = clusters.reduce_dimensions(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COMPONENTS)
+    return stages.assign(pooled, "vec_id", "reduced", 15)[0]
 
 
 @query()

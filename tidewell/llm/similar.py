@@ -3,7 +3,9 @@
 Two texts are linked if their sets of SHINGLE_WORDS-word shingles have a Jaccard similarity of 0.8 or more. In one
 order of all shingles, such sets share one of the first n - ceil(0.8 n) + 1 of their n, so these prefixes are the keys
 of a join that loses no pair; every pair that shares a key and fits by size is then decided on the whole sets. Any
-order is right. Shingles go by their hash, but those that a sample of texts shows to be common come last, the
+order is right. Each set also has a sketch, the parities of its hashes in SKETCH_BITS classes: two sketches differ in no
+more bits than their sets have shingles apart, so pairs that differ in too many are left out before sets are read.
+Shingles go by their hash, but those that a sample of texts shows to be common come last, the
 commonest at the very end, so that a passage in many texts is seldom a key.
 
 Texts with equal sets are one row before the join. A key that more than CROWD sets share is first compared with one
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from tidewell.llm.components import connected
 from tidewell.llm.simhash import shingle_hashes
-from tidewell.llm.textkit import chosen, utf8_views, written
+from tidewell.llm.textkit import chosen, small, utf8_views, written
 
 SHINGLE_WORDS = 5
 
@@ -35,6 +37,8 @@ CROWD = 256
 #: One set in SAMPLE is counted for common shingles; those in COMMON of the sample or more are, up to MOST of them.
 SAMPLE, COMMON, MOST = 16, 8, 100_000
 
+SKETCH_BITS = 512
+
 LONGS = T.ArrayType(T.LongType())
 
 
@@ -59,6 +63,14 @@ def shingles(text: Column) -> Column:
     return _shingles(text)
 
 
+@F.arrow_udf(LONGS)
+def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+        odd = [np.bincount(values[a:b] & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1 for a, b in zip(offsets, offsets[1:], strict=False)]
+        yield _lists([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
+
+
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 of n hashes; ``common`` ones (sorted) come last, by ``rank``."""
     n = len(found)
@@ -101,17 +113,21 @@ def _paired(keyed: DataFrame, also: Column) -> DataFrame:
     return keyed.alias("l").join(keyed.alias("r"), pair).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 0.8 or more."""
-    left = sets.select(F.col("id").alias("a"), F.col("found").alias("found_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("found").alias("found_b"))
-    both = pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    ends = [sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    drawn = pairs.distinct().join(small(ends[0], 100_000), "a").join(small(ends[1], 100_000), "b")
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = written(drawn.where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"))
+    left, right = (sets.join(small(written(near.select(F.col(c).alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias(c), F.col("found").alias(f"found_{c}")) for c in "ab")
+    both = near.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     shared = F.size(F.array_intersect("found_a", "found_b"))
     return written(both.where(9 * shared >= 4 * (F.size("found_a") + F.size("found_b"))).select("a", "b"))
 
 
 def links(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) of ``sets`` (id, found: a distinct set each), a < b: pairs of 0.8 or more, enough of them for the components."""
+    sketches = written(sets.select("id", F.size("found").alias("n"), _sketch(F.col("found")).alias("sketch")))
     cut = _prefixes(*_common(sets))
     keyed = sets.select("id", F.size("found").alias("n"), F.explode(cut(F.col("found"))).alias("key"))
     of_key = Window.partitionBy("key")
@@ -119,14 +135,14 @@ def links(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = written(sized.where("many > 1"))
     crowded = shared.where(F.col("many") > crowd)
     star = crowded.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    found = _verified(_paired(shared.where(F.col("many") <= crowd), F.lit(True)).union(star), sets)
+    found = _verified(_paired(shared.where(F.col("many") <= crowd), F.lit(True)).union(star), sets, sketches)
     if not crowded.limit(1).count():
         return found
     roots = connected(found).select(F.col("node").alias("id"), "root")
     apart = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     apart = written(apart.join(several, "key", "left_semi").select("id", "n", "key", "root"))
-    return found.union(_verified(_paired(apart, F.col("l.root") != F.col("r.root")), sets))
+    return found.union(_verified(_paired(apart, F.col("l.root") != F.col("r.root")), sets, sketches))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

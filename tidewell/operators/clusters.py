@@ -5,43 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Centroids that may be sent to every row as one array; larger tables join as pairs instead.
+#: Centroids that are sent to every row as one array; of more, each row meets blocks of about so many.
 MOST_CENTROIDS = 10_000
 
 
-def _with_centroids(frame: DataFrame, centroids: DataFrame) -> DataFrame:
-    """frame with all centroids (id, x, y) in one array column, if they are few enough."""
-    many = centroids.count()
-    if many > MOST_CENTROIDS:
-        raise ValueError(f"{many} centroids; at most {MOST_CENTROIDS} go into one row")
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("_centroids"))
-    return frame.crossJoin(F.broadcast(packed))
+def nearest(frame: DataFrame, centroids: DataFrame, own: Column, x: Column, y: Column, k: int, most: int = MOST_CENTROIDS) -> DataFrame:
+    """frame with nearest_id, distance, rk: the k nearest centroids (id, x, y) other than ``own``, by distance, then id.
 
-
-def nearest(frame: DataFrame, centroids: DataFrame, own: Column, x: Column, y: Column, k: int) -> DataFrame:
-    """frame with nearest_id, distance, rk: the k nearest centroids other than ``own``, by distance, then id."""
+    Every block of centroids gives a row its k nearest ones, and the blocks' results, k each, are merged.
+    """
+    blocks = max(1, -(-centroids.count() // most))
+    packed = centroids.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("_centroids"))
     far = lambda c: F.struct(F.hypot(c["x"] - x, c["y"] - y).alias("distance"), c["id"].alias("nearest_id"))
     ranked = F.slice(F.array_sort(F.transform(F.filter("_centroids", lambda c: c["id"] != own), far)), 1, k)
-    rows = _with_centroids(frame, centroids).select(*frame.columns, F.posexplode(ranked).alias("_p", "_n"))
+    if blocks == 1:
+        rows = frame.crossJoin(F.broadcast(packed)).select(*frame.columns, ranked.alias("_ranked"))
+    else:
+        numbered = frame.withColumn("_row", F.monotonically_increasing_id())
+        met = numbered.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(packed, "_block")
+        merged = F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k)
+        rows = met.select("_row", F.struct(*frame.columns).alias("_frame"), ranked.alias("_near")).groupBy("_row").agg(F.any_value("_frame").alias("_frame"), merged.alias("_ranked")).select("_frame.*", "_ranked")
+    rows = rows.select(*frame.columns, F.posexplode("_ranked").alias("_p", "_n"))
     return rows.select(*frame.columns, "_n.nearest_id", "_n.distance", (F.col("_p") + 1).cast("long").alias("rk"))
 
 
 def containing(frame: DataFrame, ellipses: DataFrame, x: str, y: str) -> DataFrame:
     """frame with cluster_id of the smallest ellipse (cluster_id, cx, cy, rx, ry, angle) around each point; others have no row.
 
-    Ellipses go into grid cells as wide as the largest diameter, so points meet only those of their own cell.
+    An ellipse lies in a grid whose cells are as wide as its diameter, rounded up to a power of two, so points meet only
+    ellipses of their own cells, one cell for each width there is. Repeated points keep a row each.
     """
     from tidewell.functions.geometry import in_ellipse
 
-    width = ellipses.agg(F.max(F.greatest("rx", "ry"))).first()[0]
-    width = max(2 * (width or 0), 1e-6)
-    cell = lambda c: F.floor(c / width).cast("long")
+    sized = ellipses.withColumn("_level", F.ceil(F.log2(F.greatest(2 * F.col("rx"), 2 * F.col("ry"), F.lit(1e-6)))).cast("int"))
+    levels = [row[0] for row in sized.where("_level IS NOT NULL").select("_level").distinct().collect()]
+    cell = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level)).cast("long")
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    spread = ellipses.withColumn("_gx", F.explode(F.transform(steps, lambda i: cell(F.col("cx")) + i))).withColumn("_gy", F.explode(F.transform(steps, lambda i: cell(F.col("cy")) + i)))
-    rows = frame.withColumn("_gx", cell(F.col(x))).withColumn("_gy", cell(F.col(y)))
-    hit = rows.join(spread, ["_gx", "_gy"]).where(in_ellipse(F.col(x), F.col(y), F.col("cx"), F.col("cy"), F.col("rx"), F.col("ry"), F.col("angle")))
+    spread = sized.withColumn("_gx", F.explode(F.transform(steps, lambda i: cell(F.col("cx"), F.col("_level")) + i)))
+    spread = spread.withColumn("_gy", F.explode(F.transform(steps, lambda i: cell(F.col("cy"), F.col("_level")) + i)))
+    rows = frame.withColumn("_row", F.monotonically_increasing_id()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    rows = rows.withColumns({"_gx": cell(F.col(x), F.col("_level")), "_gy": cell(F.col(y), F.col("_level"))})
+    hit = rows.join(spread, ["_level", "_gx", "_gy"]).where(in_ellipse(F.col(x), F.col(y), F.col("cx"), F.col("cy"), F.col("rx"), F.col("ry"), F.col("angle")))
     best = F.min(F.struct((F.col("rx") * F.col("ry")).alias("area"), "cluster_id")).alias("_best")
-    return hit.groupBy(*frame.columns).agg(best).select(*frame.columns, "_best.cluster_id")
+    found = hit.groupBy("_row").agg(F.any_value(F.struct(*frame.columns)).alias("_frame"), best)
+    return found.select("_frame.*", "_best.cluster_id")
 
 
 def nearest_within(probes: DataFrame, dots: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -89,13 +91,14 @@ def manifest(runs: DataFrame, members: DataFrame, schema_version: int) -> DataFr
 
 
 def write_atomically(body: str, path: str, spark) -> None:
-    """Writes a small document beside its place, with a newline at its end, and renames it."""
-    jvm = spark.sparkContext._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = files.create(part, True)
+    """Writes a small document beside its place, with a newline at its end, and renames it over what is there in one step."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    files = target.getFileSystem(conf)
+    stream = files.create(part, False)
     stream.write(bytearray((body.rstrip("\n") + "\n").encode()))
     stream.close()
-    files.delete(target, False)
-    if not files.rename(part, target):
-        raise OSError(f"cannot rename to {path}")
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(files.makeQualified(target).toUri(), conf)
+    context.rename(files.makeQualified(part), files.makeQualified(target), options)

@@ -109,14 +109,18 @@ def distinctiveness(frame: DataFrame, cohort: str, features: list[str], least: f
 
 
 def leave_one_out(frame: DataFrame, cohort: str, member: str, feature: str) -> DataFrame:
-    """cohort, member, z of each member's mean against all other members' rows of its cohort, from running totals."""
+    """cohort, member, z of each member's mean against all other members' rows of its cohort.
+
+    Counts, means and centred squares of a member are taken out of its cohort's, so large values do not cancel.
+    """
     v = F.col(feature).cast("double")
-    own = frame.groupBy(cohort, member).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    w = Window.partitionBy(cohort)
-    n, s, q = (F.sum(c).over(w) - F.col(c) for c in ("n", "s", "q"))
-    out = own.select(cohort, member, (F.col("s") / F.col("n")).alias("value"), n.alias("n"), s.alias("s"), q.alias("q")).where("n > 0")
-    out = out.withColumn("mean", F.col("s") / F.col("n")).withColumn("var", F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2)))
-    return out.where("var > 1e-12").select(cohort, member, ((F.col("value") - F.col("mean")) / F.sqrt("var")).alias("z"))
+    moments = lambda rows, tag: rows.agg(F.count(v).alias(f"_n{tag}"), F.avg(v).alias(f"_mean{tag}"), (F.var_pop(v) * F.count(v)).alias(f"_squares{tag}"))
+    own = moments(frame.groupBy(cohort, member), "")
+    joined = own.join(moments(frame.groupBy(F.col(cohort).alias("_cohort")), "_all"), F.col(cohort).eqNullSafe(F.col("_cohort"))).where("_n > 0 AND _n_all > _n")
+    rest = joined.withColumn("_rest", F.col("_n_all") - F.col("_n"))
+    rest = rest.withColumn("_gap", (F.col("_mean") - F.col("_mean_all")) * F.col("_n_all") / F.col("_rest"))
+    squares = F.col("_squares_all") - F.col("_squares") - F.col("_gap") * F.col("_gap") * F.col("_n") * F.col("_rest") / F.col("_n_all")
+    return rest.withColumn("_var", squares / F.col("_rest")).where("_var > 1e-12").select(cohort, member, (F.col("_gap") / F.sqrt("_var")).alias("z"))
 
 
 def selection_pool(clips: DataFrame, k: int, share: float) -> DataFrame:

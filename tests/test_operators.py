@@ -1,11 +1,13 @@
 """Relations against hand-computed cases."""
 
 import math
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import text
 from tidewell.operators import clusters, labels, profiles, quantiles, relational, serving, stats, vectors
 from tidewell.plans import ledger, plugins
 from tidewell.plans.filter_stage import FilterSettings, eligibility, hard_flags, selection
@@ -184,6 +186,65 @@ def test_distinct_names(spark):
     assert len(set(names)) == 5 and sum("Ambient" in n for n in names) <= 2
 
 
+def test_rarest_labels_come_first():
+    uses = {"amber": 0, "brook": 1, "cedar": 2, "dune": 0}
+    found = list(labels.rarest_labels(uses, 2))
+    assert len(found) == len(set(found)) == 6 + 4
+    cost = lambda t: (sum(uses[w.lower()] >= 2 for w in t.split()), sum(uses[w.lower()] for w in t.split()), len(t.split()))
+    assert [cost(t) for t in found] == sorted(map(cost, found)) and found[0] == "Amber Dune"
+    assert list(labels.rarest_labels({"one": 0}, 2)) == []
+    # lazy: a pool of a thousand words has 166 million choices
+    assert next(labels.rarest_labels({f"w{i}": 5 for i in range(1000)}, 2)) == "W0 W1"
+
+
+def test_names_of_crowded_words(spark):
+    rows = [("c", i, "Ambient Night", ["Ambient Night", f"rare{i} and the ambient"]) for i in range(6)] + [("d", i, None, ["x"]) for i in range(3)]
+    frame = spark.createDataFrame(rows, "embedding_case string, cluster_id long, label string, candidates array<string>")
+    found = {(r["embedding_case"], r["cluster_id"]): r["label"] for r in labels.distinct_names(frame).collect()}
+    assert len(set(found.values())) == 9 and found["c", 0] == "Ambient Night"
+    assert [found["d", i] for i in range(3)] == ["Unnamed", "Unnamed 2", "Unnamed 3"]
+
+
+def test_repeated_points_and_wide_ellipses(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.5, 0.5), (2, 900.0, 0.0), (3, 5000.0, 0.0)], "id long, px double, py double")
+    ellipses = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, 0.0), (2, 0.0, 0.0, 1000.0, 1000.0, 0.0)], "cluster_id long, cx double, cy double, rx double, ry double, angle double")
+    got = sorted((r["id"], r["cluster_id"]) for r in clusters.containing(points, ellipses, "px", "py").collect())
+    assert got == [(1, 1), (1, 1), (2, 2)]
+    assert clusters.containing(points, ellipses.limit(0), "px", "py").count() == 0
+
+
+def test_nearest_of_many_centroids(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(20)] + [(3, 3.0, 3.0)], "own long, px double, py double")
+    centres = spark.createDataFrame([(i, i * 0.37 % 7, i * 0.91 % 5) for i in range(60)], "id long, x double, y double")
+    args = (F.col("own"), F.col("px"), F.col("py"), 4)
+    one, many = (sorted(map(tuple, clusters.nearest(rows, centres, *args, most=most).collect())) for most in (10_000, 7))
+    assert one == many and len(one) == 21 * 4
+
+
+def test_leave_one_out_of_large_values(spark):
+    rows = [("a", i % 5, 1e9 + i) for i in range(40)]
+    got = {r["m"]: r["z"] for r in stats.leave_one_out(spark.createDataFrame(rows, "c string, m int, v double"), "c", "m", "v").collect()}
+    for m in range(5):
+        own, rest = ([v for _, k, v in rows if (k == m) == mine] for mine in (True, False))
+        expected = (statistics.fmean(own) - statistics.fmean(rest)) / statistics.pstdev(rest)
+        assert abs(got[m] - expected) < 1e-6
+
+
+def test_failure_message(spark):
+    texts = ["plain", "it's", "a \"b\" it's", "line\nend", "x" * 6000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.failure_message(F.lit("H1"), F.col("t")).alias("m")).collect()
+    for i, message in rows:
+        raw = texts[i]
+        shown = [part.replace("\n", "\\n") for part in (raw, raw[:1500], raw[-1500:])]
+        assert message == (f"H1 len={len(raw)} body={shown[0]!r}" if len(raw) <= 5000 else f"H1 len={len(raw)} head={shown[1]!r} tail={shown[2]!r}")
+
+
+def test_atomic_write_replaces(spark, tmp_path):
+    for body in ("one", "two"):
+        serving.write_atomically(body, str(tmp_path / "doc.json"), spark)
+    assert (tmp_path / "doc.json").read_text() == "two\n" and not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
+
+
 def test_serving_round_trip(spark):
     schema = "run_id string, user_id long, x double, tags array<struct<tag:string,n:int>>, langs array<string>"
     rows = [("r", 1, 1.5, [("b", 2), ("a", 1)], ["en", "fr"]), ("r", 2, None, [], None), ("s", 1, 0.0, None, [])]

@@ -89,6 +89,11 @@ def needs_caption_translation() -> Column:
     return used_in_analysis() & ~blank("caption_clean") & ~_missing("caption_language") & (F.col("caption_language") != "und") & ~english("caption_language") & _missing("caption_translation")
 
 
+def positive_head(scores: Column, least: float = 0.5) -> Column:
+    """A two-way classifier's verdict: its first score, the positive one, is at least the threshold."""
+    return F.coalesce(F.get(scores, F.lit(0)) >= least, F.lit(False))
+
+
 def label_pending() -> Column:
     """Over an outer-joined label: no row yet, or waiting."""
     return F.col("status").isNull() | (F.col("status") == "pending")

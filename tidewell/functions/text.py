@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that say nothing about a label, and words that no label may have.
@@ -109,6 +109,7 @@ def bucket(value: Column, high: float, low: float, names: tuple[str, str, str])
     return F.when(value >= high, names[0]).when(value >= low, names[1]).when(value.isNotNull(), names[2])
 
 
+# Limits and names of the three scores' bands.
 def danceability(value: Column) -> Column:
     return bucket(value, 0.66, 0.33, ("highly danceable", "moderately danceable", "low danceability"))
 
@@ -139,6 +140,7 @@ def _short(value: float) -> str:
     return f"{value:g}"
 
 
+# A decade's steps and the names of the first and last band of followers.
 def follower_edges() -> list[float]:
     """Steps of a decade, for nine decades up to 1e9."""
     return [m * 10**k for k in range(9) for m in (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0)] + [1e9]
@@ -190,8 +192,54 @@ def genre_leaf(genre: Column, children: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*pairs)[genre], genre) if pairs else genre
 
 
-def failure_message(code: Column, body: Column, ends: int = 1500) -> Column:
-    """Code, length and body; of a long body its two ends."""
-    long = F.length(body) > 2 * ends
-    cut = F.concat(F.substring(body, 1, ends), F.lit(" ... "), F.right(body, F.lit(ends)))
-    return F.format_string("%s (%d chars): %s", code, F.length(body), F.when(long, cut).otherwise(body))
+def quoted(text: Column) -> Column:
+    """text in quotes, with backslashes and control characters escaped, as a Python literal shows it."""
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(single)
+
+
+# The longest body that a failure message holds whole, and the length of its two ends otherwise.
+WHOLE_BODY, BODY_END = 5000, 1500
+
+
+def failure_message(code: Column, body: Column) -> Column:
+    """Code, length and body; of a long body its two ends. Line ends are written out before the body is quoted."""
+    shown = lambda part: quoted(F.replace(part, F.lit("\n"), F.lit("\\n")))
+    head, tail = F.substring(body, 1, BODY_END), F.right(body, F.lit(BODY_END))
+    whole = F.concat(F.lit(" body="), shown(body))
+    ends = F.concat(F.lit(" head="), shown(head), F.lit(" tail="), shown(tail))
+    return F.concat(code, F.lit(" len="), F.length(body).cast("string"), F.when(F.length(body) <= WHOLE_BODY, whole).otherwise(ends))
+
+
+def clean_speech(frame: DataFrame, markers: list[str]) -> DataFrame:
+    """frame with the speech columns emptied where detected speech has a translation that contains one of the markers."""
+    from tidewell.functions.predicates import has_detected_speech
+
+    poisoned = F.lit(False)
+    for marker in markers:
+        poisoned = poisoned | F.contains(F.col("speech_translation"), F.lit(marker))
+    poisoned = has_detected_speech() & F.coalesce(poisoned, F.lit(False))
+    emptied = {c: F.when(~poisoned, F.col(c)).alias(c) for c in SPEECH_COLUMNS if c in frame.columns}
+    return frame.withColumns(emptied | {"is_speech_detected": F.when(poisoned, F.lit(False)).otherwise(F.col("is_speech_detected"))})
+
+
+def sandwich_input(visual_json: Column, text: Column) -> Column:
+    """Visual observations, as JSON with sorted keys, and the joined text; null without observations."""
+    return F.concat(F.lit("VISUAL_OBSERVATIONS="), visual_json, F.lit("\n\nTEXT="), F.coalesce(text, F.lit("")))
+
+
+def music_input(is_music_detected: Column, description: Column) -> Column:
+    """The description of the audio, null unless music was detected."""
+    return F.when(F.coalesce(is_music_detected, F.lit(False)), description)
+
+
+def language_or_undetermined(code: Column) -> Column:
+    """What a language detector said, lower-cased; "und" if it said nothing."""
+    return F.coalesce(nonempty(F.lower(F.trim(code))), F.lit("und"))
+
+
+# What speech detection writes besides its flag.
+SPEECH_COLUMNS = ("speech_transcription", "speech_language", "speech_translation", "speech_confidence", "speech_avg_logprob", "speech_compression_ratio")

@@ -28,6 +28,16 @@ def members_of(clusters_of: DataFrame, users: DataFrame, stat: DataFrame, counts
     )
 
 
+def cohort(rows: DataFrame, described: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+    """rows that are described, with what describes them, of the members only."""
+    return rows.join(described, key).join(members.select(member).where(F.col(member).isNotNull()).distinct(), member, "left_semi")
+
+
+def ordered_ids(rows: DataFrame, by: str, key: str, name: str) -> DataFrame:
+    """by, name: the keys of each group in ascending order."""
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias(name))
+
+
 def cluster_profile(members: DataFrame, clips: DataFrame, flags: list[str]) -> DataFrame:
     """cluster_id with shares of flags over clips, medians over members, compactness and nearest clusters."""
     _, shapes = layout(members)

@@ -16,7 +16,7 @@ from tidewell.plans.adapters import CLIPS, FLAGS, MEMBERS, POOL, SETTINGS, SHAPE
 from tidewell.session import table
 from tidewell.sources import readers
 
-#: Dimensions that clustering keeps, as the reference's champion does (config.toml:89-92).
+#: Dimensions that clustering keeps.
 COMPONENTS = 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -695,3 +695,111 @@ def cluster_assignment(spark, sf_dir):
 @query()
 def text_embeddings(spark, sf_dir):
     return plugins.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", plugins.HashProvider)
+
+
+# gates, member lists and label inputs
+
+_GATES = """g AS (SELECT d.doc_id, l.quality = 1 AS is_selected, l.toxic = 0 AS is_downloaded, CASE d.doc_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS is_speech_detected,
+ CASE WHEN d.doc_id % 5 > 0 THEN d.source ELSE '' END AS speech_transcription, d.lang AS speech_language, CASE WHEN d.doc_id % 7 = 0 THEN d.source END AS speech_translation,
+ d.text AS caption_text, CASE d.doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE d.text END AS caption_clean,
+ CASE d.doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'und' ELSE d.lang END AS caption_language FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = lambda n: F.col("doc_id") % n
+    return _labelled(spark, sf_dir).select(
+        "doc_id",
+        (F.col("quality") == 1).alias("is_selected"),
+        (F.col("toxic") == 0).alias("is_downloaded"),
+        F.when(turn(3) == 1, True).when(turn(3) == 2, False).alias("is_speech_detected"),
+        F.when(turn(5) > 0, F.col("source")).otherwise("").alias("speech_transcription"),
+        F.col("lang").alias("speech_language"),
+        F.when(turn(7) == 0, F.col("source")).alias("speech_translation"),
+        F.col("text").alias("caption_text"),
+        F.when(turn(4) == 1, "").when(turn(4) > 1, F.col("text")).alias("caption_clean"),
+        F.when(turn(6) == 1, "").when(turn(6) == 2, "und").when(turn(6) > 2, F.col("lang")).alias("caption_language"),
+    )
+
+
+_USED = "coalesce(is_selected, false) AND coalesce(is_downloaded, false)"
+_EMPTY = "coalesce({0} = '', true)"
+
+
+@query(f"""WITH {_GATES} SELECT doc_id, {_USED} AND is_speech_detected IS NULL AS detect, {_USED} AND coalesce(is_speech_detected, false) AS detected,
+ {_USED} AND coalesce(is_speech_detected, false) AND NOT {_EMPTY.format("speech_transcription")} AND NOT {_EMPTY.format("speech_language")} AND NOT coalesce(starts_with(lower(speech_language), 'en'), false) AND {_EMPTY.format("speech_translation")} AS translate FROM g""")
+def speech_gates(spark, sf_dir):
+    return _gates(spark, sf_dir).select("doc_id", P.needs_speech_detection().alias("detect"), P.has_detected_speech().alias("detected"), P.needs_speech_translation().alias("translate"))
+
+
+@query(f"""WITH {_GATES} SELECT doc_id, {_USED} AND coalesce(trim(caption_text), '') <> '' AND caption_clean IS NULL AS clean, {_USED} AND coalesce(trim(caption_clean), '') <> '' AND {_EMPTY.format("caption_language")} AS detect FROM g""")
+def caption_gates(spark, sf_dir):
+    return _gates(spark, sf_dir).select("doc_id", P.needs_caption_cleaning().alias("clean"), P.needs_caption_language().alias("detect"))
+
+
+@query("""WITH s AS (SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'success' WHEN l.toxic = 1 THEN 'failed' WHEN l.quality = 0 THEN 'pending' END AS status, CASE WHEN l.toxic = 1 THEN d.doc_id % 5 END AS attempts FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+ SELECT doc_id, status IS NULL OR status = 'pending' AS pending, coalesce(status = 'success', false) AS done, coalesce(status IS NULL OR status = 'pending' OR (status = 'failed' AND attempts < 3), false) AS selected FROM s""")
+def label_gates(spark, sf_dir):
+    status = F.when(F.col("quality") == 1, "success").when(F.col("toxic") == 1, "failed").when(F.col("quality") == 0, "pending")
+    rows = _labelled(spark, sf_dir).select("doc_id", status.alias("status"), F.when(F.col("toxic") == 1, F.col("doc_id") % 5).alias("attempts"))
+    return rows.select("doc_id", P.label_pending().alias("pending"), P.label_done().alias("done"), F.coalesce(P.label_selected(3), F.lit(False)).alias("selected"))
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN 'sealed' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def conditional_updates(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    zero = F.lit(0).cast(dict(rows.dtypes)["c_acctbal"])
+    sealed = F.col("c_custkey") % 4 == 0
+    updates = rows.where("c_custkey % 4 < 2").select("c_custkey", F.when(sealed, "sealed").alias("c_mktsegment"), F.when(sealed, zero).alias("c_acctbal"))
+    return relational.conditional_update(rows, updates, ["c_custkey"], ["c_mktsegment", "c_acctbal"])
+
+
+@query(f"""WITH {MEMBERS}, {CLIPS}, st AS (SELECT user_id, median(play_count) AS m, (max(taken_at) - min(taken_at)) / 86400.0 AS days FROM clips GROUP BY user_id), n AS (SELECT user_id, count(*) AS n FROM clips WHERE video_url = 'purchase' GROUP BY user_id)
+ SELECT mem.vec_id AS user_id, mem.cluster_id, c.c_name AS username, CAST(trunc(st.m) AS BIGINT) AS median_plays, CAST(round_even(st.days / 30.0, 0) AS BIGINT) AS activity_span_months, coalesce(n.n, 0) AS n_selected
+ FROM mem LEFT JOIN customer c ON c.c_custkey = mem.vec_id LEFT JOIN st ON st.user_id = mem.vec_id LEFT JOIN n ON n.user_id = mem.vec_id""")
+def cluster_members(spark, sf_dir):
+    layout = members(spark, sf_dir).select(F.col("vec_id").alias("user_id"), "cluster_id")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+    events = clips(spark, sf_dir)
+    stat = events.groupBy("user_id").agg(F.median("play_count").alias("median_plays"), ((F.max("taken_at") - F.min("taken_at")) / F.lit(86400.0)).alias("clip_time_span_days"))
+    counts = events.where("video_url = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n_selected"))
+    return profiles.members_of(layout, users, stat, counts).select("user_id", "cluster_id", "username", "median_plays", "activity_span_months", "n_selected")
+
+
+@query("SELECT d.doc_id, d.source, l.toxic FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND d.lang IN (SELECT lang FROM documents WHERE n_chars > 4000)")
+def cohort_clips(spark, sf_dir):
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return profiles.cohort(docs, marks.where("quality = 1"), "doc_id", docs.where("n_chars > 4000"), "lang").select("doc_id", "source", "toxic")
+
+
+@query("SELECT d.lang, list(d.doc_id ORDER BY d.doc_id) AS clip_ids FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0 GROUP BY d.lang")
+def labelled_clips(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return profiles.ordered_ids(table(spark, sf_dir, "documents").join(done.select("doc_id"), "doc_id"), "lang", "doc_id", "clip_ids")
+
+
+@query(f"""WITH {_GATES}, p AS (SELECT *, {_USED} AND coalesce(is_speech_detected, false) AND coalesce(contains(speech_translation, 'src1') OR contains(speech_translation, '3'), false) AS bad FROM g)
+ SELECT doc_id, CASE WHEN bad THEN false ELSE is_speech_detected END AS is_speech_detected, CASE WHEN NOT bad THEN speech_transcription END AS speech_transcription, CASE WHEN NOT bad THEN speech_language END AS speech_language, CASE WHEN NOT bad THEN speech_translation END AS speech_translation FROM p""")
+def speech_cleaned(spark, sf_dir):
+    return X.clean_speech(_gates(spark, sf_dir), ["src1", "3"]).select("doc_id", "is_speech_detected", "speech_transcription", "speech_language", "speech_translation")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'VISUAL_OBSERVATIONS={"quality":' || l.quality || ',"toxic":' || l.toxic || '}' || chr(10) || chr(10) || 'TEXT=' || CASE WHEN d.doc_id % 3 > 0 THEN d.source ELSE '' END END AS sandwich,
+ CASE WHEN l.toxic = 1 THEN d.source END AS music, CASE WHEN d.doc_id % 4 = 0 OR coalesce(trim(d.lang), '') = '' THEN 'und' ELSE lower(trim(d.lang)) END AS language FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def label_inputs(spark, sf_dir):
+    seen = F.when(F.col("quality").isNotNull(), F.to_json(F.struct("quality", "toxic")))
+    said = F.when(F.col("doc_id") % 4 > 0, F.col("lang"))
+    spoken = F.when(F.col("doc_id") % 3 > 0, F.col("source"))
+    return _labelled(spark, sf_dir).select("doc_id", X.sandwich_input(seen, spoken).alias("sandwich"), X.music_input(F.col("toxic") == 1, F.col("source")).alias("music"), X.language_or_undetermined(said).alias("language"))
+
+
+@query(r"""SELECT doc_id, CASE source WHEN 'src1' THEN 'one' WHEN 'src2' THEN 'two' ELSE source END AS leaf, 'HC1 len=' || length(source) || ' body=' || chr(39) || source || chr(39) AS message,
+ sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS digest, n_chars / 1000.0 >= 0.5 AS head FROM documents""")
+def label_details(spark, sf_dir):
+    leaf = X.genre_leaf(F.col("source"), {"src1": "one", "src2": "two"})
+    digest = labels.payload_digest(F.struct("lang", "n_chars", "source"))
+    head = P.positive_head(F.array(F.col("n_chars") / 1000.0))
+    return table(spark, sf_dir, "documents").select("doc_id", leaf.alias("leaf"), X.failure_message(F.lit("HC1"), F.col("source")).alias("message"), digest.alias("digest"), head.alias("head"))

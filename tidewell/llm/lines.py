@@ -13,9 +13,11 @@ of these again only lines that share one to the neighbourhood: one key for the l
 deleted, by rolling sums in linear time. Lines with an equal key join, and Levenshtein's distance
 decides. Variants of one key differ in one place only, so a key holds few lines however many copies there are.
 
-Null texts stay null. Rows without id come last; rows of one id go by their text's hash, and equal rows keep the
-same lines. A text whose lines all go becomes empty; the row stays. Only the named id and text are read; other
-columns pass through.
+Every join here shuffles unless Spark itself finds a side small in bytes; nothing is hinted, so plans are alike at every size.
+
+Null texts stay null. Rows without id come last; rows of one id go by their text's hash. Of repeated rows (equal id and
+text) one counts as the first, and the others lose every line that is not blank. A text whose lines all go becomes
+empty; the row stays. Only the named id and text are read; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.rules import let
-from tidewell.llm.textkit import carried, small, written
+from tidewell.llm.textkit import carried, written
 
 EDITS = 1
 LEAST_CHARS = 1
 
+#: A character that makes a line more than blank.
+VISIBLE = "[^\\x20\\x09-\\x0D]"
+
 #: Parts of a line that are left out in turn before single characters are.
 PARTS = 32
 
@@ -44,7 +49,7 @@ _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, no, line, h1, h2) of the lines that may be dropped; th is the text's hash, h1 and h2 the line's."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    rows = rows.where((F.length("line") >= LEAST_CHARS) & F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    rows = rows.where((F.length("line") >= LEAST_CHARS) & F.col("line").rlike(VISIBLE))
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -139,14 +144,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = lines(docs, id_col, text_col)
     marks = found.select("h1", "h2", _place().alias("place"), F.length("line").alias("n"), _half_keys().alias("halves"))
     distinct = written(marks.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves")))
-    candidates = written(_sharing(distinct.select(_line_id().alias("id"), F.explode("halves").alias("key"))))
+    candidates = _sharing(distinct.select(_line_id().alias("id"), F.explode("halves").alias("key")))
     at = ["h1", "h2"]
-    wanted = written(distinct.withColumn("id", _line_id()).join(small(candidates), "id", "left_semi").select("id", *at, "first"))
-    texts = found.join(small(wanted), at).where(_place() == F.col("first")).dropDuplicates(at)
+    wanted = written(distinct.withColumn("id", _line_id()).join(candidates, "id", "left_semi").select("id", *at, "first"))
+    texts = found.join(wanted, at).where(_place() == F.col("first")).dropDuplicates(at)
     texts = written(texts.select("id", *at, "first", "line"))
-    closer = written(_sharing(texts.select("id", F.explode(_part_keys()).alias("key"))))
-    texts = written(texts.join(small(closer), "id", "left_semi"))
-    keyed = texts.select("id", "line").repartition("id").mapInArrow(_neighbourhood, KEYED)
+    closer = _sharing(texts.select("id", F.explode(_part_keys()).alias("key")))
+    texts = written(texts.join(closer, "id", "left_semi"))
+    keyed = written(texts.select("id", "line").repartition("id").mapInArrow(_neighbourhood, KEYED))
     pairs = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")))
     pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"), F.struct(*at).alias("key_a"))
@@ -157,21 +162,38 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = near.withColumn("near", F.lit(True))
     repeated = distinct.join(near, at, "left").where("near OR copies > 1")
     repeated = written(repeated.select(*at, "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = found.select(*at, "doc_id", "th", "no", _place().alias("place")).join(small(repeated), at).where(F.col("near") | (F.col("place") != F.col("first")))
+    gone = found.select(*at, "doc_id", "th", "no", _place().alias("place")).join(repeated, at).where(F.col("near") | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """carried() with ``again``: true for all but one of the rows that have an id and a text in common."""
+    rows = carried(docs, id_col, text_col)
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))
+    counts = rows.groupBy("doc_id", "hash").count().where("count > 1")
+    repeated = written(counts.select(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash")))
+    if not repeated.limit(1).count():
+        return rows.withColumn("again", F.lit(False))
+    # numbered in a table of their own, so that a row keeps its number when it is read again
+    numbered = written(rows.join(repeated, same).withColumn("number", F.monotonically_increasing_id()))
+    first = numbered.groupBy("of", "of_hash").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("first"))
+    numbered = numbered.join(first, "number", "left").select("row", "doc_id", "text", "hash", F.col("first").isNull().alias("again"))
+    return rows.join(repeated, same, "left_anti").withColumn("again", F.lit(False)).union(numbered)
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines in text, and n_lines and n_dropped, as longs; columns of those names are replaced."""
     gone = written(dropped_lines(docs, id_col, text_col))
-    # about as many rows as documents with a repeated line, so it is never small where the corpus is large
     gone = gone.select(F.col("doc_id").alias("of"), F.col("th").alias("of_hash"), "gone")
-    rows = carried(docs, id_col, text_col)
+    rows = _marked(docs, id_col, text_col)
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
     cut = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone"))
     kept = let(F.struct(cut.alias("lines"), left.alias("left")), lambda x: F.transform(x["left"], lambda no: F.get(x["lines"], no)))
-    changed = F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    counts = {"n_lines": F.coalesce(F.size(cut), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    new = counts | {text_col: changed}
+    blank = F.filter(cut, lambda line: ~line.rlike(VISIBLE))
+    stays = F.when(F.col("again"), blank).when(F.col("gone").isNotNull(), kept).otherwise(cut)
+    changed = F.when(F.col("again") | F.col("gone").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col("text"))
+    dropped = F.when(F.col("again"), F.size(cut) - F.size(blank)).otherwise(F.size("gone"))
+    counts = {"n_lines": F.coalesce(F.size(cut), F.lit(0)).cast("long"), "n_dropped": F.coalesce(dropped, F.lit(0)).cast("long")}
+    new = counts | {text_col: F.when(F.col("text").isNotNull(), changed)}
     return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns], *[v.alias(n) for n, v in counts.items() if n not in docs.columns])

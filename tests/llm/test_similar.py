@@ -2,12 +2,10 @@
 
 import random
 
-from pyspark.sql import functions as F
+import numpy as np
 
 import corpus_pipeline
-from tidewell.llm import simhash, similar
-from tidewell.llm.components import connected
-from tidewell.llm.textkit import written
+from tidewell.llm import minhash, simhash, similar
 
 
 def test_near_dedup_stage_finds_similar_texts(spark):
@@ -31,6 +29,35 @@ def test_near_dedup_stage_finds_similar_texts(spark):
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == sorted(set(root))
     assert len(set(root)) < simhash.representatives(frame).count()
-    rows = written(frame.select(similar.shingles(F.col("text")).alias("found")).distinct().withColumn("id", F.xxhash64("found")))
-    parts = [{r["node"]: r["root"] for r in connected(similar.links(rows, crowd)).collect()} for crowd in (1, 256)]
-    assert parts[0] == parts[1]
+
+
+def test_bands_and_sketches_keep_similar_sets():
+    random.seed(12)
+    missed = 0
+    for _ in range(400):
+        n = random.choice([5, 9, 20, 60, 300, 2000])
+        words = [random.getrandbits(64) for _ in range(2 * n)]
+        apart = n // 9
+        a, b = (np.array(words[: n - apart] + words[k * n : k * n + apart], np.uint64) for k in (1, 1))
+        b[n - apart :] = np.array([random.getrandbits(64) for _ in range(apart)], np.uint64)
+        assert 9 * (n - apart) >= 4 * 2 * n
+        _, _, keys, sketches = similar.described([a, b])
+        missed += not (keys[0] == keys[1]).any() or minhash.likeness(sketches[:1], sketches[1:])[0] < similar.LEAST_LIKENESS
+    assert missed <= 1
+
+
+def test_groups_of_near_copies(spark):
+    random.seed(14)
+    base = [f"v{i}" for i in range(200)]
+    docs = [(i, " ".join(base[: 190 - i % 40] + [f"own{i}"])) for i in range(120)]
+    docs += [(200 + i, " ".join(random.sample(base, 60))) for i in range(40)] + [(7, docs[7][1]), (None, docs[8][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = [frozenset(x for part in simhash.shingle_hashes(t.encode(), 5) for x in part) for _, t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert similar.representatives(frame).count() == len(set(root))
+    assert similar.representatives(frame.limit(0)).count() == 0

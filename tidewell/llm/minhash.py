@@ -30,6 +30,9 @@ SHINGLE_WORDS = 5
 BINS = 512
 BITS = 4
 
+#: Sampled ids for each section.
+PICKS = 16
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -37,7 +40,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _C1
     x = (x ^ (x >> np.uint64(27))) * _C2
     return x ^ (x >> np.uint64(31))
@@ -68,7 +71,7 @@ def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
     power, inverse = _power_tables(len(data) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    hashes = _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _C2)
+    hashes = mixed((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _C2)
     return hashes, np.diff(np.searchsorted(starts, edges))
 
 
@@ -82,7 +85,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = SHINGLE_W
     many = padded - width + 1
     rolled = np.zeros(max(0, len(filled) - width + 1), np.uint64)
     for k in range(width):
-        rolled = _mix(rolled + filled[k : len(filled) - width + 1 + k] + np.uint64(k + 1))
+        rolled = mixed(rolled + filled[k : len(filled) - width + 1 + k] + np.uint64(k + 1))
     starts = np.concatenate(([0], np.cumsum(many)))
     at = np.arange(starts[-1]) + np.repeat(first[:-1] - starts[:-1], many)
     return rolled[at], many
@@ -94,7 +97,7 @@ _probes: list[np.ndarray] = []
 def _probe(attempt: int) -> np.ndarray:
     while len(_probes) <= attempt:
         seeds = np.arange(BINS, dtype=np.uint64) + np.array([len(_probes) * BINS + 1], np.uint64) * _C1
-        _probes.append((_mix(_mix(seeds)) % np.uint64(BINS)).astype(np.int64))
+        _probes.append((mixed(mixed(seeds)) % np.uint64(BINS)).astype(np.int64))
     return _probes[attempt]
 
 
@@ -110,8 +113,8 @@ def binned(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return bins.reshape(-1, BINS)
 
 
-def packed(bins: np.ndarray) -> np.ndarray:
-    """Densified low bits: a row of BINS * BITS / 8 bytes for each text; one bin at least is full."""
+def densified(bins: np.ndarray) -> np.ndarray:
+    """bins with the EMPTY ones filled; one bin at least of each text is full."""
     full = bins != EMPTY
     out = bins.copy()
     rows, columns = np.nonzero(~full)
@@ -121,9 +124,19 @@ def packed(bins: np.ndarray) -> np.ndarray:
         found = full[rows, source]
         out[rows[found], columns[found]] = bins[rows[found], source[found]]
         rows, columns, attempt = rows[~found], columns[~found], attempt + 1
-    low = (_mix(out) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    return out
+
+
+def low_bits(bins: np.ndarray) -> np.ndarray:
+    """The low bits of densified bins: a row of BINS * BITS / 8 bytes for each text."""
+    low = (mixed(bins) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     bits = np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - BITS :]
-    return np.packbits(bits.reshape(len(bins), -1), axis=1)
+    return np.packbits(bits.reshape(len(bins), BINS * BITS), axis=1)
+
+
+def packed(bins: np.ndarray) -> np.ndarray:
+    """Densified low bits of binned() texts."""
+    return low_bits(densified(bins))
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -215,35 +228,33 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", section_rows: int = 250, most_sections: int = 100_000) -> DataFrame:
+def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", section_rows: int = 1000, most_sections: int = 100_000) -> DataFrame:
     """Each row's fingerprint, its edited text's, and the likeness of both and of the next row's.
 
-    Ids, not texts, are cut into sections first, at ids that a hash picks: one in ``section_rows``, or fewer, so that
-    about ``most_sections`` numbers at most reach the driver. The one shuffle of texts then sends each section,
-    with a copy of the row that follows it, to a task that reads it in order.
+    Ids, not texts, are cut into sections of about ``section_rows`` first, or of more rows if there would be over
+    ``most_sections``: a hash picks PICKS ids a section, and every PICKS-th of them in order is a cut. The one shuffle of
+    texts then sends each section, with a copy of the row that follows it, to a partition of its own, so the number of
+    tasks follows the rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = written(rows.select("doc_id", "hash"))
-    one_in = max(section_rows, keys.count() // most_sections)
+    one_in = max(1, max(section_rows, -(-keys.count() // most_sections)) // PICKS)
     picked = keys.where(F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(one_in)) == 0).select("doc_id").where("doc_id IS NOT NULL")
-    cuts = np.array(sorted(r[0] for r in picked.distinct().collect()), np.int64)
+    cuts = np.sort(picked.distinct().toArrow().column(0).to_numpy().astype(np.int64))[PICKS - 1 :: PICKS]
     first = keys.withColumn("section", _section(cuts)(F.col("doc_id"), F.col("hash")))
     first = first.groupBy("section").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), "hash")).alias("key"))
-    heads = sorted((r["section"], r["key"]["id"], r["key"]["hash"]) for r in first.collect())
+    heads = sorted(map(tuple, zip(*first.select("section", "key.id", "key.hash").toArrow().to_pydict().values(), strict=True)))
     placed = rows.withColumn("section", _section(cuts)(F.col("doc_id"), F.col("hash")))
     placed = placed.withColumn("before", _section_before(heads)(F.col("section"), F.col("doc_id"), F.col("hash")))
     own = F.struct(F.col("section"), F.lit(False).alias("edge"))
     copy = F.struct(F.col("before").alias("section"), F.lit(True).alias("edge"))
     placed = placed.select("doc_id", "text", "hash", F.inline(F.when(F.col("before") >= 0, F.array(own, copy)).otherwise(F.array(own))))
-    ordered = placed.repartition(_partitions(docs), "section").sortWithinPartitions("section", "edge", F.desc_nulls_last("doc_id"), "hash")
+    dealt = placed.repartitionById(len(cuts) + 1, F.pmod("section", F.lit(len(cuts) + 1)).cast("int"))
+    ordered = dealt.sortWithinPartitions("section", "edge", F.desc_nulls_last("doc_id"), "hash")
     return ordered.select("doc_id", "text", "edge").mapInArrow(_compared, RESULT)
 
 
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _section(cuts: np.ndarray):
     """Numbers rise as ids fall; rows without id are dealt by their hash, after all others."""
 

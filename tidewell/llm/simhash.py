@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,8 +123,9 @@ def links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
     high = F.shiftrightunsigned("fingerprint", 32)
     deleted = [low.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit(i << 32)) for i in range(32)]
     keyed = fingerprints.select("fingerprint", F.explode(F.array(*deleted, high.bitwiseOR(F.lit(32 << 32)))).alias("key"))
-    # the window needs the same partitioning and order as the join after it
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    # counted before any rows of a key meet; most keys have one fingerprint and go no further
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(keyed.join(counts, "key"))
     in_low = F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint")).bitwiseAND(F.lit(0xFFFFFFFF))
     position = F.shiftrightunsigned(F.col("l.key"), 32)
     deleted_one = F.expr("shiftleft(1L, cast(shiftrightunsigned(l.key, 32) as int))")

@@ -1,18 +1,24 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline's near-dedup stage.
+"""Near-duplicates of the pipeline: SimHash links (operator 6), completed by MinHash fingerprints (operator 1).
 
-Two texts are linked if their sets of SHINGLE_WORDS-word shingles have a Jaccard similarity of 0.8 or more. In one
-order of all shingles, such sets share one of the first n - ceil(0.8 n) + 1 of their n, so these prefixes are the keys
-of a join that loses no pair; every pair that shares a key and fits by size is then decided on the whole sets. Any
-order is right. Each set also has a sketch, the parities of its hashes in SKETCH_BITS classes: two sketches differ in no
-more bits than their sets have shingles apart, so pairs that differ in too many are left out before sets are read.
-Shingles go by their hash, but those that a sample of texts shows to be common come last, the
-commonest at the very end, so that a passage in many texts is seldom a key.
+Two texts are linked if their sets of SHINGLE_WORDS-word shingles have a Jaccard similarity of 0.8 or more. SimHash
+alone cannot find them: at 0.8 two 64-bit fingerprints differ in 10 bits on average, and an index of segments with one
+wildcard loses all selectivity there. So its links at two bits, which find the closest copies, are followed by bands
+of a one-permutation MinHash fingerprint: sets that agree in all ROWS bins of one of BANDS bands are candidates, which
+a pair of similarity 0.8 misses with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 
-Texts with equal sets are one row before the join. A key that more than CROWD sets share is first compared with one
-of them only; the others are paired where that leaves them in different components.
+Both only propose. A pair whose packed fingerprints show a likeness under LEAST_LIKENESS (eight standard errors below 0.8)
+is left out, and every other one is decided on the two whole sets.
+
+Texts with equal sets are one row before any join. A group of k near copies has k * k / 2 pairs, so its members are
+compared with leads first: in each of ROUNDS rounds every key that still has members of different components picks one
+of them by a hash, and only pairs with it are decided. Keys differ in their picks, so a member meets several leads a
+round. After the rounds, keys with CROWD components or fewer have all pairs of members of different components decided.
+Members of a key with more components, which are alike at a little less than 0.8 for the most part, have met their
+leads only, so a link may be lost there; README has the measured share.
 
 Shingles are those of simhash: ASCII lower case, the whole sequence if there are fewer words. Texts without words,
-null ones too, are one group. Components follow links, so two of their texts may be less alike than 0.8.
+null ones too, are one group. Components follow links, so two of their texts may be less alike than 0.8. Repeated rows
+are one document; other columns pass through. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,25 +27,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm import minhash, simhash
 from tidewell.llm.components import connected
-from tidewell.llm.simhash import shingle_hashes
-from tidewell.llm.textkit import chosen, small, utf8_views, written
+from tidewell.llm.textkit import chosen, groups, utf8_views, written
 
 SHINGLE_WORDS = 5
+BANDS, ROWS = 32, 5
+LEAST_LIKENESS = 0.65
 
-#: A key that more sets have is compared with one of them first.
-CROWD = 256
-
-#: One set in SAMPLE is counted for common shingles; those in COMMON of the sample or more are, up to MOST of them.
-SAMPLE, COMMON, MOST = 16, 8, 100_000
-
-SKETCH_BITS = 512
+#: Rounds of comparisons with leads, different orders in which keys pick them, and components of a key whose members all meet.
+ROUNDS, LEADS, CROWD = 3, 8, 64
 
 LONGS = T.ArrayType(T.LongType())
+MARKS = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("fingerprint", T.LongType()),
+        T.StructField("bands", LONGS),
+        T.StructField("sketch", T.BinaryType()),
+    ]
+)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -47,15 +59,16 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
+def _hashes_between(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """All shingle hashes of each text, repeats included."""
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        yield np.concatenate([np.zeros(0, np.uint64), *[np.array(x, np.uint64) for x in simhash.shingle_hashes(data[a:b].tobytes(), SHINGLE_WORDS)]])
+
+
 @F.arrow_udf(LONGS)
 def _shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
-        data, offsets = utf8_views(column)
-        rows = []
-        for a, b in zip(offsets, offsets[1:], strict=False):
-            parts = [np.array(x, np.uint64) for x in shingle_hashes(data[a:b].tobytes(), SHINGLE_WORDS)]
-            rows.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
-        yield _lists(rows)
+        yield _lists([np.unique(found.view(np.int64)) for found in _hashes_between(*utf8_views(column))])
 
 
 def shingles(text: Column) -> Column:
@@ -63,98 +76,117 @@ def shingles(text: Column) -> Column:
     return _shingles(text)
 
 
-@F.arrow_udf(LONGS)
-def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-        odd = [np.bincount(values[a:b] & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1 for a, b in zip(offsets, offsets[1:], strict=False)]
-        yield _lists([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
-
-
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n hashes; ``common`` ones (sorted) come last, by ``rank``."""
-    n = len(found)
-    if not n:
-        return found
-    size = n - (4 * n + 4) // 5 + 1
-    if not len(common):
-        return found[:size]
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    late = np.where(common[at] == found, rank[at], -1)
-    return found[np.argsort(late, kind="stable")[:size]]
-
+def described(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the shingle hashes of each text: hash of the set, SimHash, keys of the MinHash bands, packed MinHash."""
+    counts = np.array([len(t) for t in texts], np.int64)
+    hashes = np.concatenate([np.zeros(0, np.uint64), *texts])
+    ids = np.array([xxhash.xxh64_intdigest(np.unique(t).tobytes()) for t in texts], np.uint64)
+    fingerprints = simhash.majority(simhash.bit_sums(hashes, counts), counts)
+    # a text without shingles has one bin, of zero
+    filled = np.insert(minhash.mixed(hashes), np.concatenate(([0], np.cumsum(counts)))[:-1][counts == 0], np.uint64(0))
+    bins = minhash.densified(minhash.binned(filled, np.maximum(counts, 1)))
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    for row in range(ROWS):
+        keys = minhash.mixed(keys + bins[:, row * BANDS : (row + 1) * BANDS] + np.arange(BANDS, dtype=np.uint64))
+    return ids, fingerprints, keys, minhash.low_bits(bins)
 
-def _prefixes(common: np.ndarray, rank: np.ndarray):
-    @F.arrow_udf(LONGS)
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-            yield _lists([prefix(values[a:b], common, rank) for a, b in zip(offsets, offsets[1:], strict=False)])
 
-    return cut
-
-
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted common hashes and their places from rare to common."""
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    counts = sample.select(F.explode("found").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
-    top = counts.orderBy(F.desc("count"), "key").limit(MOST).collect()
-    keys = np.array([r["key"] for r in top], np.int64)
-    order = np.argsort(keys)
-    return keys[order], np.arange(len(keys) - 1, -1, -1)[order]
-
-
-def _fits() -> Column:
-    return (5 * F.col("l.n") >= 4 * F.col("r.n")) & (5 * F.col("r.n") >= 4 * F.col("l.n"))
-
-
-def _paired(keyed: DataFrame, also: Column) -> DataFrame:
-    pair = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & _fits() & also
-    return keyed.alias("l").join(keyed.alias("r"), pair).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of 0.8 or more."""
-    ends = [sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
-    drawn = pairs.distinct().join(small(ends[0], 100_000), "a").join(small(ends[1], 100_000), "b")
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = written(drawn.where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"))
-    left, right = (sets.join(small(written(near.select(F.col(c).alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias(c), F.col("found").alias(f"found_{c}")) for c in "ab")
-    both = near.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+@F.arrow_udf(MARKS)
+def _marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        data, offsets = utf8_views(column)
+        parts = [described([])]
+        parts += [described(list(_hashes_between(data, offsets[i : j + 1]))) for i, j in groups(offsets)]
+        ids, marks, bands, sketches = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+        packed = pa.array([row.tobytes() for row in sketches], pa.binary())
+        yield pa.StructArray.from_arrays([pa.array(ids.view(np.int64)), pa.array(marks.view(np.int64)), lists, packed], MARKS.names)
+
+
+@F.arrow_udf(T.DoubleType())
+def _likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(side.to_pylist()), np.uint8).reshape(len(side), -1) for side in (a, b))
+    return pa.array(minhash.likeness(x, y))
+
+
+def _decided(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, alike) of the pairs: whether their sets have a Jaccard similarity of 0.8 or more."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+    weighed = written(pairs.select("a", "b", (_likeness("sketch_a", "sketch_b") >= LEAST_LIKENESS).alias("near")))
+    near = weighed.where("near").select("a", "b")
+    ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    wanted = written(sets.join(ends, "id", "left_semi").select("id", F.col("first.doc_id").alias("of"), F.col("first.hash").alias("of_hash"), F.lit(1).alias("rows")))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "text").dropDuplicates(["id"])
+    found = written(texts.select("id", shingles(F.col("text")).alias("found")))
+    both = near
+    for end in "ab":
+        both = both.join(found.select(F.col("id").alias(end), F.col("found").alias(f"found_{end}")), end)
     shared = F.size(F.array_intersect("found_a", "found_b"))
-    return written(both.where(9 * shared >= 4 * (F.size("found_a") + F.size("found_b"))).select("a", "b"))
-
-
-def links(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b) of ``sets`` (id, found: a distinct set each), a < b: pairs of 0.8 or more, enough of them for the components."""
-    sketches = written(sets.select("id", F.size("found").alias("n"), _sketch(F.col("found")).alias("sketch")))
-    cut = _prefixes(*_common(sets))
-    keyed = sets.select("id", F.size("found").alias("n"), F.explode(cut(F.col("found"))).alias("key"))
-    of_key = Window.partitionBy("key")
-    sized = keyed.withColumn("many", F.count("*").over(of_key)).withColumn("lead", F.min("id").over(of_key))
-    shared = written(sized.where("many > 1"))
-    crowded = shared.where(F.col("many") > crowd)
-    star = crowded.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    found = _verified(_paired(shared.where(F.col("many") <= crowd), F.lit(True)).union(star), sets, sketches)
-    if not crowded.limit(1).count():
-        return found
-    roots = connected(found).select(F.col("node").alias("id"), "root")
-    apart = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    apart = written(apart.join(several, "key", "left_semi").select("id", "n", "key", "root"))
-    return found.union(_verified(_paired(apart, F.col("l.root") != F.col("r.root")), sets, sketches))
+    alike = both.select("a", "b", (9 * shared >= 4 * (F.size("found_a") + F.size("found_b"))).alias("alike"))
+    return written(alike.union(weighed.where("NOT near")))
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (id, ...) with the ``root`` of their component."""
+    return rows.join(connected(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _close(sets: DataFrame) -> DataFrame:
+    """(a, b) of sets that SimHash links: those of one fingerprint with their first, and the firsts of two linked ones."""
+    leads = written(sets.groupBy("fingerprint").agg(F.min("id").alias("lead")))
+    same = sets.join(leads, "fingerprint").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    near = simhash.links(leads.select("fingerprint"))
+    for end in "ab":
+        near = near.join(leads.select(F.col("fingerprint").alias(end), F.col("lead").alias(f"lead_{end}")), end)
+    return same.union(near.select("lead_a", "lead_b"))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """The rows (id, key, root) of keys that have several roots."""
+    several = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def links(docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
+    """(a, b), pairs of alike ``sets`` that show their components.
+
+    sets: id, fingerprint, bands, sketch and first (doc_id and hash of a text that has it); docs: doc_id, hash and text.
+    """
+    keyed = sets.select("id", F.explode("bands").alias("key"))
+    members = written(_apart(keyed.withColumn("root", F.col("id"))))
+    proposed, decided, alike = _close(sets), [], None
+    for turn in range(rounds):
+        order = F.xxhash64("id", F.lit(turn), F.pmod("key", F.lit(LEADS)))
+        leads = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("id").alias("lead"), F.col("root").alias("of"))).alias("pick"))
+        stars = members.join(leads.select("key", "pick.lead", "pick.of"), "key").where("root <> of").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        decided.append(_decided(stars if alike is not None else proposed.union(stars), docs, sets))
+        new = decided[-1].where("alike").select("a", "b")
+        alike = new if alike is None else alike.union(new)
+        members = written(_apart(_rooted(members.select("id", "key"), alike).select("id", "key", "root")))
+    roots = written(members.select("key", "root").distinct())
+    few = roots.groupBy("key").count().where(F.col("count") <= crowd).select("key")
+    roots = written(roots.join(few, "key", "left_semi"))
+    two = roots.select("key", F.col("root").alias("x")).join(roots.select("key", F.col("root").alias("y")), "key").where("x < y")
+    pairs = two.join(members.select("key", F.col("root").alias("x"), F.col("id").alias("a")), ["key", "x"])
+    pairs = pairs.join(members.select("key", F.col("root").alias("y"), F.col("id").alias("b")), ["key", "y"])
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for earlier in decided:
+        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+    return alike.union(_decided(pairs, docs, sets).where("alike").select("a", "b"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: of the smallest id, null last, then of the smallest hash of the text."""
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), shingles(F.col(text_col)).alias("found")))
-    rows = rows.withColumn("id", F.xxhash64("found"))
-    sets = written(rows.select("id", "found").dropDuplicates(["id"]))
-    stars = connected(links(sets)).select(F.col("node").alias("id"), "root")
+    texts = docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), F.col(text_col).alias("text"))
+    marked = written(texts.select("doc_id", "hash", _marks("text").alias("marks")).select("doc_id", "hash", "marks.*"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    alike = rows.groupBy("id", "doc_id", "hash").count()
-    rooted = alike.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    same = [F.any_value(c).alias(c) for c in ("fingerprint", "bands", "sketch")]
+    sets = written(marked.groupBy("id").agg(F.min(key).alias("first"), *same))
+    alike = marked.groupBy("id", "doc_id", "hash").count()
+    rooted = _rooted(alike, links(texts, sets))
     first = rooted.groupBy("root").agg(F.min(F.struct(key.alias("key"), "count")).alias("first"))
     keep = written(first.select(F.col("first.key.doc_id").alias("of"), F.col("first.key.hash").alias("of_hash"), F.col("first.count").alias("rows")))
     return chosen(docs, id_col, text_col, keep).select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 #: What the contracts call a word: a maximal run outside space and \t\n\v\f\r.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
-#: Rows of a few longs that may be sent to every executor; beyond that many a join shuffles.
-BROADCAST_ROWS = 500_000
-
 #: Bytes of text that the array code looks at together; one longer document is taken alone.
 GROUP_BYTES = 1 << 21
 
@@ -69,9 +67,11 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; in a session without that setting, one under the temporary folder."""
+    """A new folder under spark.checkpoint.dir. Only a session within one JVM may lack that setting: it gets the temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
@@ -85,11 +85,6 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written frame of a few longs a row, for broadcast if its row count allows it; Spark chooses another join otherwise."""
-    return F.broadcast(frame) if frame.count() <= rows else frame
-
-
 def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row (all columns of docs), doc_id, text and hash (of the text, null as empty): no column's name can clash."""
     text = F.col(text_col)
@@ -98,7 +93,7 @@ def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def chosen(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
     """carried() with the columns of ``keys`` (of, of_hash, rows, ...), for rows whose id and hash are among them; equal rows once."""
-    found = carried(docs, id_col, text_col).join(small(keys), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
+    found = carried(docs, id_col, text_col).join(keys, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
     if not keys.where("rows > 1").limit(1).count():
         return found
     return found.where("rows = 1").union(found.where("rows > 1").dropDuplicates(["of", "of_hash"]))

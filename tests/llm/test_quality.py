@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidewell.llm import bytenet, queries, rules, urls
@@ -106,7 +107,7 @@ def brute_score(net, text):
     for chunk in range(max(1, blocks - 1)):
         part = data[chunk * bytenet.BLOCK : (chunk + 2) * bytenet.BLOCK]
         last = chunk * bytenet.BLOCK + len(part) == len(data)
-        places = range(0, len(part), 2) if not last else range(0, len(part) - bytenet.WIDTH + 1, 2)
+        places = range(len(part) if not last else len(part) - bytenet.WIDTH + 1)
         windows = [data[chunk * bytenet.BLOCK + p : chunk * bytenet.BLOCK + p + bytenet.WIDTH] for p in places]
         maxima.append(np.maximum(np.max([sum(net.vectors[b] @ net.filters[k] for k, b in enumerate(w)) for w in windows], axis=0) + net.bias, 0))
     return 1 / (1 + np.exp(-(np.mean(maxima, axis=0) @ net.weights + net.offset)))
@@ -114,13 +115,23 @@ def brute_score(net, text):
 
 def test_network_covers_whole_texts():
     texts = ["", "short", "x" * 121, "y" * 122, "z" * 128, "ab!" * 300, "clean " * 100 + "###"]
-    chunks = [c * 2 for c in bytenet.spread_chunks(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts]))]
-    net = bytenet.train(chunks, [1, 0, 1, 0, 1, 0, 1], epochs=2)
+    net = bytenet.train([t.encode() for t in texts], [1, 0, 1, 0, 1, 0, 1], epochs=2)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0] + [len(t) for t in texts])
     assert np.allclose(bytenet.scores(net, net.tables(), data, offsets), [brute_score(net, t) for t in texts], atol=1e-4)
 
 
+def test_network_slopes():
+    """One step of training lowers the loss, and a byte more at the start leaves patterns where filters meet them."""
+    texts = [b"clean words of text " * (1 + i % 30) if i % 2 else b"## $$ junk " * (1 + i % 40) for i in range(60)]
+    labels = [i % 2 for i in range(60)]
+    net = bytenet.train(texts, labels, epochs=6)
+    offsets = lambda rows: np.cumsum([0] + [len(t) for t in rows])
+    score = lambda rows: bytenet.scores(net, net.tables(), np.frombuffer(b"".join(rows), np.uint8), offsets(rows))
+    assert ((score(texts) > 0.5) == np.array(labels)).mean() > 0.95
+    assert ((score([b"x" + t for t in texts]) > 0.5) == np.array(labels)).mean() > 0.95
+
+
 def test_network_without_labels(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.1), (2, "x", 0.2)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -155,6 +166,48 @@ def test_url_query(spark):
     assert np.mean(right) > 0.9
 
 
+def brute_features(url, suffixes, usual):
+    host, path, _ = brute_rule(url)
+    url = url or ""
+    shares = [host.count(c) / len(host) for c in set(host)]
+    query = url.partition("#")[0].partition("?")[2]
+    suffix = host.rpartition(".")[2]
+    inner = path.strip("/")
+    return [len(url), len(host), len(path), inner.count("/") + bool(inner), host.count(".") + bool(host), sum(c in "0123456789" for c in url) / max(1, len(url)), host.count("-") / max(1, len(host)), -sum(p * np.log2(p) for p in shares), query.count("&") + bool(query), len(suffix), suffixes.get(suffix, usual)]
+
+
+def test_url_features(spark):
+    given = ["http://a-b.Example.org/x//y/?p=1&q=2#f?z=1", "https://x.y.com", "https://x.y.com/#a?b", None, "", "n.o/1", "http://localhost:80/a/b/c?&", "http://é.de/1/\n?x=1"]
+    frame = spark.createDataFrame([(u,) for u in given], "url string").select("url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    suffixes = {"org": 0.25, "": 0.75}
+    rows = frame.select("url", urls.features(F.col("url"), F.col("host"), F.col("path"), suffixes, 0.5).alias("x")).collect()
+    for row in rows:
+        assert np.allclose(row["x"], brute_features(row["url"], suffixes, 0.5)), row["url"]
+
+
+def test_hosts_that_were_not_trained_on(spark):
+    """Labels come as a table; half of the unwanted and half of the other hosts are kept from training."""
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url")
+    labelled = urls.labelled_by_host(pages).where("url IS NOT NULL")
+    unseen = (F.crc32(F.regexp_extract(urls.host(F.col("url")), "([^.]+)\\.[^.]+\\.[^.]+$", 1).cast("binary")) % 2 == 0) & F.lit(True)
+    forest = urls.fit(labelled.where(~unseen))
+    rest = labelled.where(unseen).select("blocked", urls.features(F.col("url"), urls.host(F.col("url")), urls.path(F.col("url")), forest.suffixes, forest.usual).alias("x")).collect()
+    x, y = np.array([r["x"] for r in rest]), np.array([r["blocked"] for r in rest])
+    right = (forest(x) >= 0.5) == y
+    print("unseen hosts:", len(y), "urls, blocked", y.sum(), "right of blocked", right[y == 1].mean(), "of others", right[y == 0].mean())
+    assert y.sum() > 5 and right[y == 1].mean() > 0.5 and right[y == 0].mean() > 0.9
+
+
+def test_labels_from_a_table(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    spark.createDataFrame([(f"http://a{i}.net/x", 1) for i in range(5)], "url string, blocked int").write.parquet(path)
+    spark.conf.set(queries.URL_LABELS, path)
+    try:
+        assert {r["verdict"] for r in queries.op3_url_filter(spark, SF).where("rule IS NULL").collect()} == {"block"}
+    finally:
+        spark.conf.unset(queries.URL_LABELS)
+
+
 def test_url_edges(spark):
     given = [None, "", "nourl", "http://A.Example.ORG/ES/x", "x://y://z/a?b#c", "http://example.org/es/", "http://notexample.org", "HTTP://q.com/de/\n?x", "http://org/", "//x.org/", "http://\n.org/a", "http://İ.org/" + "p" * 5000]
     frame = spark.createDataFrame([(i % 11, u, "x") for i, u in enumerate(given)], "page_id long, url string, host string")

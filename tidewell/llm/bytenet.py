@@ -1,12 +1,12 @@
 """Quality classifier (operator 2): a byte-level convolutional network in numpy.
 
-Filters of WIDTH bytes slide two bytes at a time over the UTF-8 text. Each filter's maximum is taken over chunks of
+Filters of WIDTH bytes slide byte by byte over the UTF-8 text. Each filter's maximum is taken over chunks of
 two blocks that overlap by one block and cover the whole document; the rectified maxima are averaged over the chunks
 and one logistic unit turns them into a probability. The document is padded with zero bytes to whole blocks, so its
 end is covered too; a window never reaches into another document.
 
-The network is trained on the driver with evenly spread chunks of a bounded sample: SAMPLE_ROWS labelled
-documents, those with the smallest hashes of their ids, SAMPLE_CHUNKS chunks each. Scoring reads every byte.
+The network is trained on the driver with the whole texts of a bounded sample: SAMPLE_ROWS labelled documents, those
+with the smallest hashes of their ids. Scoring reads every byte of every document.
 
 Null texts count as empty; an empty text is one chunk of padding. Repeated labels of a document count by their
 smaller value, null labels not at all. With labels of one kind, or none, every score is the share of label 1
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.rules import sampled
 from tidewell.llm.textkit import groups, utf8_views
 
 WIDTH, FILTERS, DIMENSIONS = 6, 24, 8
@@ -32,15 +33,13 @@ CHUNK = 2 * BLOCK
 THRESHOLD = 0.3
 
 SAMPLE_ROWS = 2000
-SAMPLE_CHUNKS = 8
-EPOCHS = 20
+EPOCHS = 12
 
 #: Blocks that are looked at together, so that a long document needs little more memory than its text.
-SLICE = 4096
+SLICE = 2048
 
-#: Places of a block's windows, and those of a document's last block that would reach past its end.
-PLACES = BLOCK // 2
-OUTSIDE = (WIDTH - 2) // 2
+#: Windows of a document's last block that would reach past its end.
+OUTSIDE = WIDTH - 1
 
 
 @dataclass
@@ -56,8 +55,12 @@ class Net:
 
     def tables(self) -> list[np.ndarray]:
         """For each two bytes of a window, what they add to the filters."""
-        taps = [(self.vectors @ self.filters[k]).astype(np.float32) for k in range(WIDTH)]
-        return [(taps[k][:, None, :] + taps[k + 1][None, :, :]).reshape(65536, -1) for k in range(0, WIDTH, 2)]
+        return pair_tables(self.vectors, self.filters)
+
+
+def pair_tables(vectors: np.ndarray, filters: np.ndarray) -> list[np.ndarray]:
+    taps = [(vectors @ filters[k]).astype(np.float32) for k in range(WIDTH)]
+    return [(taps[k][:, None, :] + taps[k + 1][None, :, :]).reshape(65536, -1) for k in range(0, WIDTH, 2)]
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,55 +74,59 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return buffer, first
 
 
-def chunk_maxima(tables: list[np.ndarray], buffer: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each filter's maximum in the chunk that starts at each block; a text's last chunk is its last block."""
-    pairs = buffer[0::2].astype(np.int32) * 256 + buffer[1::2]
+def block_maxima(tables: list[np.ndarray], buffer: np.ndarray, first: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each filter's maximum over the windows that begin in each block and, if asked for, where it is in the buffer."""
+    pairs = buffer[:-1].astype(np.int32) * 256 + buffer[1:]
     last = first[1:] - 1
     best = np.empty((first[-1], tables[0].shape[1]), np.float32)
+    where = np.empty(best.shape, np.int64) if places else None
     for a in range(0, first[-1], SLICE):
         b = min(a + SLICE, first[-1])
-        out = tables[0][pairs[a * PLACES : b * PLACES]]
+        out = tables[0][pairs[a * BLOCK : b * BLOCK]]
         for k, one in enumerate(tables[1:], 1):
-            out += one[pairs[a * PLACES + k : b * PLACES + k]]
-        out = out.reshape(-1, PLACES, out.shape[1])
-        out[last[(last >= a) & (last < b)] - a, PLACES - OUTSIDE :] = -np.inf
-        best[a:b] = out.max(axis=1)
+            out += one[pairs[a * BLOCK + 2 * k : b * BLOCK + 2 * k]]
+        out = out.reshape(-1, BLOCK, out.shape[1])
+        out[last[(last >= a) & (last < b)] - a, BLOCK - OUTSIDE :] = -np.inf
+        if places:
+            at = out.argmax(axis=1)
+            best[a:b] = np.take_along_axis(out, at[:, None, :], 1)[:, 0]
+            where[a:b] = at + BLOCK * np.arange(a, b)[:, None]
+        else:
+            best[a:b] = out.max(axis=1)
+    return best, where
+
+
+def chunk_maxima(best: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maxima of the chunk that starts at each block, and whether they come from its second block.
+
+    A text's last block is a chunk only if it is the one block of its text; elsewhere it belongs to the chunk before.
+    """
+    second = np.zeros(best.shape, bool)
+    second[:-1] = best[1:] > best[:-1]
+    second[first[1:] - 1] = False
     chunk = best.copy()
-    chunk[:-1] = np.maximum(best[:-1], best[1:])
-    chunk[last] = best[last]
-    return chunk
+    chunk[:-1] = np.where(second[:-1], best[1:], best[:-1])
+    return chunk, second
 
 
-def scores(net: Net, tables: list[np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probabilities of the texts that offsets cut data into."""
-    buffer, first = padded(data, offsets)
-    active = np.maximum(chunk_maxima(tables, buffer, first) + net.bias, 0)
-    chunks = np.maximum(np.diff(first) - 1, 1)
+def means(active: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean over each text's chunks, what one chunk's value counts for in it)."""
+    blocks = np.diff(first)
+    share = np.repeat(1.0 / np.maximum(blocks - 1, 1), blocks)
     # a text of several blocks has one chunk fewer than blocks; its last block is in the chunk before
-    counted = np.ones(len(active))
-    counted[first[1:] - 1] = np.diff(first) == 1
-    means = np.add.reduceat(active * counted[:, None], first[:-1], axis=0) / chunks[:, None]
-    return 1 / (1 + np.exp(-np.clip(means @ net.weights + net.offset, -30, 30)))
+    share[first[1:] - 1] = blocks == 1
+    return np.add.reduceat(active * share[:, None], first[:-1], axis=0), share
 
 
-def spread_chunks(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """For each text SAMPLE_CHUNKS evenly spread chunks, or all it has, one after the other and zero-padded."""
-    out = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        many = max(1, -(-(b - a + WIDTH) // BLOCK) - 1)
-        starts = sorted({round(k * (many - 1) / max(1, SAMPLE_CHUNKS - 1)) for k in range(SAMPLE_CHUNKS)})
-        out.append(b"".join(data[a + s * BLOCK : min(b, a + s * BLOCK + CHUNK)].tobytes().ljust(CHUNK, b"\0") for s in starts if s < many))
-    return out
-
-
-@F.arrow_udf(T.BinaryType())
-def _sampled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        yield pa.array(spread_chunks(*utf8_views(column)), pa.binary())
+def scores(net: Net, tables: list[np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probabilities of the texts that offsets cut data into."""
+    buffer, first = padded(data, offsets)
+    active = np.maximum(chunk_maxima(block_maxima(tables, buffer, first)[0], first)[0] + net.bias, 0)
+    return 1 / (1 + np.exp(-np.clip(means(active, first)[0] @ net.weights + net.offset, -30, 30)))
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: float = 0.02, seed: int = 0) -> Net:
-    """texts: whole chunks of CHUNK bytes each. Adam on the log loss, in an order that the seed fixes."""
+    """Whole texts and their labels. Adam on the log loss, in an order that the seed fixes."""
     random = np.random.default_rng(seed)
     shape = (WIDTH, DIMENSIONS, FILTERS)
     values = {
@@ -135,32 +142,25 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
         return Net(*[np.asarray(v) for v in list(values.values())[:4]], 0.0, float(share))
     values["offset"][0] = np.log(share / (1 - share))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in values.items()}
-    step, places = 0, np.arange(0, CHUNK - WIDTH + 1, 2)
+    step = 0
     for epoch in range(epochs):
         order = random.permutation(len(texts))
         for batch in np.array_split(order, max(1, len(order) // 64)):
-            counts = np.array([len(texts[i]) // CHUNK for i in batch])
-            data = np.frombuffer(b"".join(texts[i] for i in batch), np.uint8).reshape(-1, CHUNK)
-            owner = np.repeat(np.arange(len(batch)), counts)
-            taps = np.einsum("bd,kdf->kbf", values["vectors"], values["filters"]).astype(np.float32)
-            conv = taps[0][data[:, places]]
-            for k in range(1, WIDTH):
-                conv += taps[k][data[:, places + k]]
-            at = conv.argmax(axis=1)
-            best = np.take_along_axis(conv, at[:, None, :], 1)[:, 0] + values["bias"]
-            active = np.maximum(best, 0)
-            means = np.zeros((len(batch), FILTERS))
-            np.add.at(means, owner, active)
-            means /= counts[:, None]
-            p = 1 / (1 + np.exp(-np.clip(means @ values["weights"] + values["offset"][0], -30, 30)))
+            offsets = np.concatenate(([0], np.cumsum([len(texts[i]) for i in batch])))
+            buffer, first = padded(np.frombuffer(b"".join(texts[i] for i in batch), np.uint8), offsets)
+            blocks, where = block_maxima(pair_tables(values["vectors"], values["filters"]), buffer, first, places=True)
+            chunk, second = chunk_maxima(blocks, first)
+            where[:-1] = np.where(second[:-1], where[1:], where[:-1])
+            best = chunk + values["bias"]
+            pooled, counted = means(np.maximum(best, 0), first)
+            p = 1 / (1 + np.exp(-np.clip(pooled @ values["weights"] + values["offset"][0], -30, 30)))
             wrong = (p - target[batch]) / len(batch)
-            back = (wrong / counts)[owner][:, None] * values["weights"] * (best > 0)
-            grown = {"weights": means.T @ wrong, "offset": np.array([wrong.sum()]), "bias": back.sum(0)}
+            back = (np.repeat(wrong, np.diff(first)) * counted)[:, None] * values["weights"] * (best > 0)
+            grown = {"weights": pooled.T @ wrong, "offset": np.array([wrong.sum()]), "bias": back.sum(0)}
             vectors, filters = np.zeros((256, DIMENSIONS)), np.zeros(shape)
             for k in range(WIDTH):
-                seen = np.take_along_axis(data, places[at] + k, 1)
-                onehot = np.zeros((FILTERS, 256))
-                np.add.at(onehot, (np.broadcast_to(np.arange(FILTERS), seen.shape), seen), back)
+                seen = np.arange(FILTERS) * 256 + buffer[where + k]
+                onehot = np.bincount(seen.ravel(), back.ravel(), FILTERS * 256).reshape(FILTERS, 256)
                 filters[k] = (onehot @ values["vectors"]).T
                 vectors += onehot.T @ values["filters"][k].T
             grown |= {"vectors": vectors, "filters": filters}
@@ -176,10 +176,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Net:
     """docs: doc_id, text; labels: doc_id, quality (0 or 1)."""
-    marked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", _sampled("text").alias("chunks"))
-    rows = sorted(map(tuple, found.limit(2 * sample_rows).collect()))
+    sample = sampled(docs, labels, sample_rows).select("doc_id", "quality", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = sorted(map(tuple, sample.collect()))
     return train([bytes(r[2]) for r in rows], [r[1] for r in rows])
 
 

@@ -3,12 +3,17 @@
 Targets share all words by the sources' weights, and none exceeds MOST_EPOCHS times its source: the excess goes
 to the others by weight until none is above. A source's target is taken as complete epochs of all its documents
 first. For what is left, each document draws an exponential key divided by its quality weight; in the order of
-the keys, a document is taken while the larger part of its words lies within the budget.
+the keys, a document is taken while the larger part of its words lies within the budget, so a source's words miss
+its target by half a document at most.
+
+A document's quality weight follows from statistics of the quality rules: its share of lines that repeat none before
+them, and its symbols a character. Another weight, such as a classifier's score, can be given instead.
 
 The draw is a hash of the document's id and text, so reruns agree. Nulls: a null text has no words and nothing
 is taken of it; a null source is a source of its own, the last. Ties in the key go by id, then by the text's hash.
-Repeated rows are documents of their own with equal keys; which of them the budget cuts off makes no
-difference. Sources without words have target 0 and an empty table gives no rows.
+Repeated rows are documents of their own with equal keys, taken one by one while the budget lasts; as they are
+equal, it makes no difference which of them the budget cuts off. Sources without words have target 0 and an empty
+table gives no rows. A null weight, or one that is not positive, counts as LEAST_WEIGHT.
 """
 
 from __future__ import annotations
@@ -16,14 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.lines import VISIBLE
+from tidewell.llm.rules import SYMBOLS, let
 from tidewell.llm.textkit import WORD_SEPARATORS, chosen, written
 
 # Weights of the sources by code point, repeating, and the most often that a document is taken.
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 
-#: Each source's keys are cut into so many ranges, of which only one is put in order.
-RANGES = 4096
+#: Key ranges to each doubling of the key. As at most 0.26 of a source's keys lie within one doubling, whatever their
+#: weights, a range holds about 1 in 4,000 of its documents.
+RANGES = 1024
+
+LEAST_WEIGHT = 0.1
 
 
 def word_count(text: Column) -> Column:
@@ -32,10 +42,12 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.1 and 1: the share of characters that are no marks out of place in prose."""
+    """Between LEAST_WEIGHT and 1: the share of lines that repeat no earlier one, less ten times the share of symbols."""
     text = F.coalesce(text, F.lit(""))
-    marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>!@^~_={}[]\\", ""))
-    return F.greatest(F.lit(0.1), 1 - 5 * marks / F.greatest(F.length(text), F.lit(1)))
+    symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(F.length(text), F.lit(1))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(VISIBLE))
+    new = let(lines, lambda x: F.size(F.array_distinct(x)) / F.greatest(F.size(x), F.lit(1)))
+    return F.greatest(F.lit(LEAST_WEIGHT), new - 10 * symbols)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -63,24 +75,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: i
     return found.select("source", "source_size", F.least("limit", F.coalesce(open_level * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and ``hash`` (of the text), for each row.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weight: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and ``hash`` (of the text), for each row; ``weight`` replaces quality_weight().
 
     A source's documents never meet in one task: sums by source and key range come first, and they tell in which
-    range the budget ends; only that range's rows are put in order.
+    range the budget ends; only that range's rows are put in order. The ends, one row a source, are a table of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        quality_weight(F.col(text_col)).alias("weight"),
+        F.coalesce(quality_weight(F.col(text_col)) if weight is None else weight, F.lit(0.0)).alias("weight"),
         F.xxhash64(text).alias("hash"),
     )
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "hash"), 11) + 0.5) / 2**53
-    rows = rows.withColumn("key", -F.log(draw) / F.col("weight"))
-    # ranges by 1 - exp(-key), which is even for weight 1
-    rows = rows.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
+    rows = rows.withColumn("key", -F.log(draw) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(LEAST_WEIGHT))
+    rows = rows.withColumn("range", F.floor(F.log2("key") * RANGES))
     rows = written(rows.select("doc_id", "source", "size", "hash", "key", "range"))
     sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -92,11 +103,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     walked = walked.withColumn("after", running).withColumn("before", F.col("after") - F.col("words"))
     last = F.when(F.col("before") <= F.col("budget"), F.struct("range", "before"))
     ends = walked.groupBy("of", "source_size", "target", "epochs", "budget").agg(F.max(last).alias("end"))
-    ends = ends.select("of", "source_size", "target", "epochs", "budget", F.col("end.range").alias("end"), F.col("end.before").alias("before"))
+    ends = written(ends.select("of", "source_size", "target", "epochs", "budget", F.col("end.range").alias("end"), F.col("end.before").alias("before")))
     joined = rows.join(ends, F.col("source").eqNullSafe(F.col("of")))
     whole = F.col("range") < F.col("end")
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "hash")
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.sum("size").over(order) + F.col("before")
     clear = joined.where(F.col("range") != F.col("end")).withColumn("more", whole)
     edge = joined.where(F.col("range") == F.col("end")).withColumn("more", reached - F.col("size") / 2 <= F.col("budget"))
@@ -104,9 +115,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "hash")
 
 
-def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weight: Column | None = None) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken; rows without words are left out."""
-    taken = mixed(docs, id_col, text_col, source_col, seed).where("taken > 0")
+    taken = mixed(docs, id_col, text_col, source_col, seed, weight).where("taken > 0")
     times = taken.groupBy("doc_id", "hash").agg((F.sum("taken") / F.max("size")).cast("int").alias("times"), F.count("*").alias("rows"))
     times = written(times.select(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "times", "rows"))
     found = chosen(docs, id_col, text_col, times)

@@ -15,6 +15,9 @@ from tidewell.session import table
 
 VOCABULARY = corpus_pipeline.VOCABULARY
 
+#: Session setting: a Parquet table of labelled urls (url, blocked: 0 or 1) for the url filter.
+URL_LABELS = "spark.tidewell.urlLabels"
+
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
@@ -32,9 +35,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path, rule and verdict of every page's url."""
+    """Host, path, rule and verdict of every page's url; learnt from the labelled urls that the session names, or else
+    from the pages' own urls under a list of unwanted hosts, as the tables hold no labelled urls."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judged(pages, urls.labelled_by_host(pages))
+    given = spark.conf.get(URL_LABELS, None)
+    return urls.judged(pages, spark.read.parquet(given) if given else urls.labelled_by_host(pages))
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +78,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after two batches: every document by its words, then every count revised to byte-level BPE."""
+    """Token totals after four batches: every document by its words, every count revised to byte-level BPE, every document
+    of the first source deleted, and inserted again; one batch is sent twice, and the first two are compacted."""
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path(VOCABULARY))
     docs = table(spark, sf_dir, "documents")
     tokens = (F.length(bpe.encode(vocabulary, F.col("text"))) / 4).cast("long")
     counts = written(docs.select("doc_id", "source", "lang", mixing.word_count(F.col("text")).alias("words"), tokens.alias("tokens")))
     by_words = counts.select("doc_id", "source", "lang", F.lit("words/1").alias("tokenizer_version"), F.col("words").alias("n_tokens"))
     by_bpe = counts.select("doc_id", "source", "lang", F.lit("byte_bpe_50k/1").alias("tokenizer_version"), F.col("tokens").alias("n_tokens"))
+    first = by_bpe.agg(F.min("source")).first()[0]
+    rest = by_bpe.where(~F.col("source").eqNullSafe(F.lit(first)))
     rollup = rollups.Rollup(spark, shared_folder(spark))
     rollup.commit("words", rollups.inserts(by_words))
     rollup.commit("bpe", rollups.changes(by_words, by_bpe))
+    rollup.compact()
+    rollup.commit("bpe", rollups.changes(by_words, by_bpe))
+    rollup.commit("deleted", rollups.changes(by_bpe, rest))
+    rollup.commit("restored", rollups.changes(rest, by_bpe))
     return rollup.totals()
 
 

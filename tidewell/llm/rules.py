@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.textkit import WORD_SEPARATORS
+from tidewell.llm.textkit import WORD_SEPARATORS, written
 
 # The characters that count as symbols, the words of a window, and the base rule's limits.
 SYMBOLS = "#*$%&|<>"
@@ -189,13 +189,22 @@ def learn(rows: list[dict], precision: float = 0.95, support: int = 3, most_rule
     return out
 
 
+def sampled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, quality, text), as a table: the labelled documents with the ``rows`` smallest hashes of their ids, one text an id.
+
+    A document labelled twice has its smaller label; of several texts of one id the one with the smallest hash is taken.
+    """
+    marked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return written(found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """A decision list from the statistics of at most ``sample_rows`` labelled documents that pass the base rule."""
-    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = statistics(texts).where(~base_failed()).join(F.broadcast(sample), "doc_id")
-    rows = found.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()]).limit(4 * sample_rows).collect()
+    sample = sampled(docs, labels, sample_rows)
+    found = statistics(sample).where(~base_failed()).join(F.broadcast(sample.select("doc_id", "quality")), "doc_id")
+    rows = found.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()]).collect()
     return learn([r.asDict() for r in sorted(rows, key=lambda r: (r["doc_id"] * 2654435761 % 2**32, tuple(r)))])
 
 

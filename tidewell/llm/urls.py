@@ -3,9 +3,11 @@
 Rules come first. A rule has a host and a path; it fits that host and all its subdomains if the url's path
 starts with its path, and the longest fitting rule's verdict holds.
 
-Urls that no rule fits are judged by boosted regression trees with the logistic loss. Features: lengths of url,
-host and path, depth, labels of the host, digit and hyphen ratios, character entropy of the host, parameter count, and
-statistics of the suffix (its length and the share of blocked urls among the labelled ones that have it).
+Urls that no rule fits are judged by boosted regression trees with the logistic loss, trained from a table of labelled
+urls. Features: lengths of url, host and path, depth, labels of the host, digit and hyphen ratios, character entropy of the
+host, parameter count, and statistics of the suffix (its length and the share of blocked urls among the labelled
+ones that have it). They are built-in expressions; only the trees run in Python, on arrays of numbers, and only for
+urls that no rule decides.
 
 Nulls: a null url, or one without ://, has empty host and path; no rule fits it, and the trees judge the empty url.
 Repeated rows are judged alike. Only the named id and url are read. Without labels of both kinds every url that
@@ -19,18 +21,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.rules import let
+from tidewell.llm.textkit import written
+
 # The rules, with the longest match's verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
-# First labels of hosts that the labelled urls mark as unwanted.
+# A fixture, for tables without labelled urls: labels of hosts that are unwanted.
 UNWANTED_HOSTS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 
 SAMPLE_ROWS = 4000
+
+#: Suffixes with a statistic of their own, the commonest ones.
+MOST_SUFFIXES = 200
+
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "hyphens", "entropy", "parameters", "suffix_length", "suffix_blocked")
 
 
@@ -57,18 +65,44 @@ def rule(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column:
     return F.coalesce(*[F.when(condition, F.lit(name)) for condition, name in fits])
 
 
-def features(urls: pa.Array, hosts: pa.Array, paths: pa.Array, suffixes: dict[str, float], usual: float) -> np.ndarray:
-    """A row of FEATURES for each url."""
-    rows = []
-    for url, name, rest in zip(urls.to_pylist(), hosts.to_pylist(), paths.to_pylist(), strict=True):
-        url = url or ""
-        counts = np.unique(list(name), return_counts=True)[1] if name else np.ones(1)
-        share = counts / counts.sum()
-        query = url.partition("#")[0].partition("?")[2]
-        suffix = name.rpartition(".")[2]
-        size = max(1, len(url))
-        rows.append((len(url), len(name), len(rest), rest.strip("/").count("/") + bool(rest.strip("/")), name.count(".") + bool(name), sum(map(str.isdigit, url)) / size, name.count("-") / max(1, len(name)), -(share * np.log2(share)).sum(), query.count("&") + bool(query), len(suffix), suffixes.get(suffix, usual)))
-    return np.array(rows, float).reshape(-1, len(FEATURES))
+def entropy(text: Column) -> Column:
+    """Bits a character; 0 for an empty text."""
+    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text)
+    bits = F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: let(share(c), lambda p: -p * F.log2(p)))
+    return F.aggregate(bits, F.lit(0.0), lambda total, x: total + x)
+
+
+def suffix(host: Column) -> Column:
+    """What follows the host's last dot; all of it without one."""
+    return F.substring_index(host, ".", -1)
+
+
+def features(url: Column, host: Column, path: Column, suffixes: dict[str, float], usual: float) -> Column:
+    """An array of FEATURES; suffixes has the share of blocked urls for some, ``usual`` is that of the others."""
+    url = F.coalesce(url, F.lit(""))
+    ratio = lambda count, text: count / F.greatest(F.length(text), F.lit(1))
+    many = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    inner = F.regexp_replace(path, r"^/+|/+\z", "")
+    query = F.regexp_extract(F.substring_index(url, "#", 1), r"(?s)\?(.*)$", 1)
+    last = suffix(host)
+    blocked = F.lit(usual)
+    if suffixes:
+        known = F.create_map(*[F.lit(x) for pair in sorted(suffixes.items()) for x in pair])
+        blocked = F.coalesce(F.try_element_at(known, last), F.lit(usual))
+    values = (
+        F.length(url),
+        F.length(host),
+        F.length(path),
+        F.when(inner == "", 0).otherwise(many(inner, "/") + 1),
+        F.when(host == "", 0).otherwise(many(host, ".") + 1),
+        ratio(F.length(url) - F.length(F.translate(url, "0123456789", "")), url),
+        ratio(many(host, "-"), host),
+        entropy(host),
+        F.when(query == "", 0).otherwise(many(query, "&") + 1),
+        F.length(last),
+        blocked,
+    )
+    return F.array(*[v.cast("double") for v in values])
 
 
 @dataclass
@@ -143,28 +177,37 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """labelled: url, blocked (0 or 1). At most ``sample_rows`` distinct urls, by the smallest hashes."""
     marked = labelled.where("url IS NOT NULL AND blocked IN (0, 1)").groupBy("url").agg(F.max("blocked").alias("blocked"))
     sample = marked.orderBy(F.xxhash64("url"), "url").limit(sample_rows)
-    rows = sample.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "blocked").collect()
+    sample = written(sample.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "blocked"))
+    rows = sample.select("url", suffix(F.col("host")).alias("suffix"), "blocked").collect()
     blocked = np.array([r["blocked"] for r in rows], float)
     seen: dict[str, list[float]] = {}
     for r in rows:
-        seen.setdefault(r["host"].rpartition(".")[2], []).append(r["blocked"])
+        seen.setdefault(r["suffix"], []).append(r["blocked"])
     usual = float(blocked.mean()) if len(rows) else 0.5
-    suffixes = {k: (sum(v) + 10 * usual) / (len(v) + 10) for k, v in seen.items()}
-    columns = [pa.array([r[c] for r in rows], pa.string()) for c in ("url", "host", "path")]
-    forest = boost(features(*columns, suffixes, usual), blocked)
+    # a suffix of few urls tells little, and a long list would be a long expression
+    often = sorted(seen, key=lambda k: (-len(seen[k]), k))[:MOST_SUFFIXES]
+    suffixes = {k: (sum(seen[k]) + 10 * usual) / (len(seen[k]) + 10) for k in often}
+    found = sample.select("url", "blocked", features(F.col("url"), F.col("host"), F.col("path"), suffixes, usual).alias("x")).collect()
+    found.sort(key=lambda r: r["url"])
+    forest = boost(np.array([r["x"] for r in found], float).reshape(-1, len(FEATURES)), np.array([r["blocked"] for r in found], float))
     forest.suffixes, forest.usual = suffixes, usual
     return forest
 
 
-def probability(forest: Forest, url: Column, host: Column, path: Column) -> Column:
-    """Probability that a url is to be blocked."""
+def probability(forest: Forest, values: Column) -> Column:
+    """Probability of block from an array of FEATURES; null for null."""
 
     @F.arrow_udf(T.DoubleType())
-    def blocked(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for urls, hosts, paths in batches:
-            yield pa.array(forest(features(urls, pc.fill_null(hosts, ""), pc.fill_null(paths, ""), forest.suffixes, forest.usual)))
+    def blocked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = np.full(len(column), np.nan)
+            given = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            if len(given):
+                flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
+                out[given] = forest(flat.reshape(-1, len(FEATURES)))
+            yield pa.array(out, from_pandas=True)
 
-    return blocked(url, host, path)
+    return blocked(values)
 
 
 def judged(pages: DataFrame, labelled: DataFrame, rules: dict[str, str] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -173,10 +216,11 @@ def judged(pages: DataFrame, labelled: DataFrame, rules: dict[str, str] = RULES,
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("p", probability(forest, F.col("url"), F.col("host"), F.col("path")))
+    values = F.when(F.col("rule").isNull(), features(F.col("url"), F.col("host"), F.col("path"), forest.suffixes, forest.usual))
+    rows = rows.withColumn("p", probability(forest, values))
     by_rule = F.coalesce(*[F.when(F.col("rule") == name, F.lit(verdict)) for name, verdict in rules.items()], F.lit(None).cast("string"))
     verdict = F.coalesce(by_rule, F.when(F.col("p") >= 0.5, "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("p")).alias("block_probability"))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("p").alias("block_probability"))
 
 
 def labelled_by_host(pages: DataFrame, url_col: str = "url", unwanted: tuple[str, ...] = UNWANTED_HOSTS) -> DataFrame:

@@ -46,7 +46,8 @@ def test_bands_and_sketches_keep_similar_sets():
     assert missed <= 1
 
 
-def test_groups_of_near_copies(spark):
+def test_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_BYTES", 4096)
     random.seed(14)
     base = [f"v{i}" for i in range(200)]
     docs = [(i, " ".join(base[: 190 - i % 40] + [f"own{i}"])) for i in range(120)]

@@ -12,9 +12,9 @@ is left out, and every other one is decided on the two whole sets.
 Texts with equal sets are one row before any join. A group of k near copies has k * k / 2 pairs, so its members are
 compared with leads first: in each of ROUNDS rounds every key that still has members of different components picks one
 of them by a hash, and only pairs with it are decided. Keys differ in their picks, so a member meets several leads a
-round. After the rounds, keys with CROWD components or fewer have all pairs of members of different components decided.
-Members of a key with more components, which are alike at a little less than 0.8 for the most part, have met their
-leads only, so a link may be lost there; README has the measured share.
+round. Of keys that still have several components, members of different ones are then compared exactly, block by block
+inside a task, at the smallest key that the two have in common; only alike pairs come out. No pair that shares a band
+is left undecided, and no task holds more than two blocks.
 
 Shingles are those of simhash: ASCII lower case, the whole sequence if there are fewer words. Texts without words,
 null ones too, are one group. Components follow links, so two of their texts may be less alike than 0.8. Repeated rows
@@ -40,8 +40,11 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 LEAST_LIKENESS = 0.65
 
-#: Rounds of comparisons with leads, different orders in which keys pick them, and components of a key whose members all meet.
-ROUNDS, LEADS, CROWD = 3, 8, 64
+#: Rounds of comparisons with leads, and different orders in which keys pick them.
+ROUNDS, LEADS = 3, 8
+
+#: Bytes of shingle hashes that a block holds, on average; one set at least.
+BLOCK_BYTES = 1 << 20
 
 LONGS = T.ArrayType(T.LongType())
 MARKS = T.StructType(
@@ -110,12 +113,11 @@ def _likeness(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _decided(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, alike) of the pairs: whether their sets have a Jaccard similarity of 0.8 or more."""
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in "ab":
         pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-    weighed = written(pairs.select("a", "b", (_likeness("sketch_a", "sketch_b") >= LEAST_LIKENESS).alias("near")))
-    near = weighed.where("near").select("a", "b")
+    near = written(pairs.where(_likeness("sketch_a", "sketch_b") >= LEAST_LIKENESS).select("a", "b"))
     ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     wanted = written(sets.join(ends, "id", "left_semi").select("id", F.col("first.doc_id").alias("of"), F.col("first.hash").alias("of_hash"), F.lit(1).alias("rows")))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "text").dropDuplicates(["id"])
@@ -124,8 +126,7 @@ def _decided(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     for end in "ab":
         both = both.join(found.select(F.col("id").alias(end), F.col("found").alias(f"found_{end}")), end)
     shared = F.size(F.array_intersect("found_a", "found_b"))
-    alike = both.select("a", "b", (9 * shared >= 4 * (F.size("found_a") + F.size("found_b"))).alias("alike"))
-    return written(alike.union(weighed.where("NOT near")))
+    return written(both.where(9 * shared >= 4 * (F.size("found_a") + F.size("found_b"))).select("a", "b"))
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -149,32 +150,88 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(several, "key", "left_semi")
 
 
-def links(docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
+@F.arrow_udf(T.BinaryType())
+def _packed_shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        yield pa.array([np.unique(found).tobytes() for found in _hashes_between(*utf8_views(column))], pa.binary())
+
+
+class Block:
+    """Members of one key: ids, roots, sizes, bands and their sorted hashes, one after the other."""
+
+    def __init__(self, items: list[dict]):
+        self.ids, self.roots = (np.array([x[c] for x in items], np.int64) for c in ("id", "root"))
+        self.found = [np.frombuffer(x["found"], np.uint64) for x in items]
+        self.sizes = np.array([len(f) for f in self.found], np.int64)
+        self.bands = np.array([x["bands"] for x in items], np.int64)
+
+
+def alike_between(key: int, left: Block, right: Block, same: bool) -> Iterator[tuple[int, int]]:
+    """Alike pairs of members of different components whose smallest common band is the key; of one block each pair once."""
+    for i, bands in enumerate(left.bands):
+        n = left.sizes[i]
+        fits = (right.roots != left.roots[i]) & (5 * right.sizes >= 4 * n) & (5 * n >= 4 * right.sizes)
+        if same:
+            fits[: i + 1] = False
+        others = np.flatnonzero(fits)
+        common = np.where(right.bands[others] == bands, bands, np.iinfo(np.int64).max)
+        others = others[common.min(axis=1, initial=np.iinfo(np.int64).max) == key]
+        if not len(others):
+            continue
+        hashes = np.concatenate([right.found[j] for j in others])
+        at = np.searchsorted(left.found[i], hashes)
+        held = np.append(left.found[i], np.uint64(0))[at] == hashes
+        held &= at < n
+        ends = np.cumsum(right.sizes[others])
+        sums = np.concatenate(([0], np.cumsum(held)))
+        shared = sums[ends] - sums[ends - right.sizes[others]]
+        for j in others[9 * shared >= 4 * (n + right.sizes[others])]:
+            yield int(min(left.ids[i], right.ids[j])), int(max(left.ids[i], right.ids[j]))
+
+
+PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+@F.arrow_udf(PAIRS)
+def _alike_pairs(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for keys, same, lefts, rights in batches:
+        rows = []
+        for k in range(len(keys)):
+            left, right = Block(lefts[k].as_py()), Block(rights[k].as_py())
+            rows.append([{"a": a, "b": b} for a, b in alike_between(keys[k].as_py(), left, right, same[k].as_py())])
+        yield pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+
+def _across(members: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the alike pairs among members (id, key, root) of one key and different components."""
+    wanted = written(sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "bands", F.col("first.doc_id").alias("of"), F.col("first.hash").alias("of_hash")))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "text", "bands").dropDuplicates(["id"])
+    found = written(texts.select("id", "bands", _packed_shingles("text").alias("found")))
+    items = members.join(found, "id")
+    many = members.join(found.select("id", F.length("found").alias("size")), "id").groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("blocks"))
+    placed = items.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))))
+    blocks = written(placed.groupBy("key", "block").agg(F.collect_list(F.struct("id", "root", "found", "bands")).alias("items")))
+    pairs = blocks.alias("l").join(blocks.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block")))
+    alike = _alike_pairs(F.col("l.key"), F.col("l.block") == F.col("r.block"), F.col("l.items"), F.col("r.items"))
+    return written(pairs.select(F.explode(alike).alias("pair")).select("pair.*"))
+
+
+def links(docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, b), pairs of alike ``sets`` that show their components.
 
     sets: id, fingerprint, bands, sketch and first (doc_id and hash of a text that has it); docs: doc_id, hash and text.
     """
     keyed = sets.select("id", F.explode("bands").alias("key"))
     members = written(_apart(keyed.withColumn("root", F.col("id"))))
-    proposed, decided, alike = _close(sets), [], None
+    alike = None
     for turn in range(rounds):
         order = F.xxhash64("id", F.lit(turn), F.pmod("key", F.lit(LEADS)))
         leads = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("id").alias("lead"), F.col("root").alias("of"))).alias("pick"))
         stars = members.join(leads.select("key", "pick.lead", "pick.of"), "key").where("root <> of").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-        decided.append(_decided(stars if alike is not None else proposed.union(stars), docs, sets))
-        new = decided[-1].where("alike").select("a", "b")
+        new = _decided(stars if alike is not None else _close(sets).union(stars), docs, sets)
         alike = new if alike is None else alike.union(new)
         members = written(_apart(_rooted(members.select("id", "key"), alike).select("id", "key", "root")))
-    roots = written(members.select("key", "root").distinct())
-    few = roots.groupBy("key").count().where(F.col("count") <= crowd).select("key")
-    roots = written(roots.join(few, "key", "left_semi"))
-    two = roots.select("key", F.col("root").alias("x")).join(roots.select("key", F.col("root").alias("y")), "key").where("x < y")
-    pairs = two.join(members.select("key", F.col("root").alias("x"), F.col("id").alias("a")), ["key", "x"])
-    pairs = pairs.join(members.select("key", F.col("root").alias("y"), F.col("id").alias("b")), ["key", "y"])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for earlier in decided:
-        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-    return alike.union(_decided(pairs, docs, sets).where("alike").select("a", "b"))
+    return alike.union(_across(members, docs, sets))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

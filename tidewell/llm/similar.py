@@ -10,7 +10,7 @@ Both only propose. A pair whose packed fingerprints show a likeness under LEAST_
 is left out, and every other one is decided on the two whole sets.
 
 Texts with equal sets are one row before any join. A group of k near copies has k * k / 2 pairs, so its members are
-compared with leads first: in each of ROUNDS rounds every key that still has members of different components picks one
+compared with leads first: in each round (ROUNDS, one) every key that still has members of different components picks one
 of them by a hash, and only pairs with it are decided. Keys differ in their picks, so a member meets several leads a
 round. Of keys that still have several components, members of different ones are then compared exactly, block by block
 inside a task, at the smallest key that the two have in common; only alike pairs come out. No pair that shares a band
@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 5
 LEAST_LIKENESS = 0.65
 
 #: Rounds of comparisons with leads, and different orders in which keys pick them.
-ROUNDS, LEADS = 3, 8
+ROUNDS, LEADS = 1, 8
 
 #: Bytes of shingle hashes that a block holds, on average; one set at least.
 BLOCK_BYTES = 1 << 20
@@ -207,10 +207,10 @@ def _across(members: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = written(sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "bands", F.col("first.doc_id").alias("of"), F.col("first.hash").alias("of_hash")))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "text", "bands").dropDuplicates(["id"])
     found = written(texts.select("id", "bands", _packed_shingles("text").alias("found")))
-    items = members.join(found, "id")
     many = members.join(found.select("id", F.length("found").alias("size")), "id").groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("blocks"))
-    placed = items.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))))
-    blocks = written(placed.groupBy("key", "block").agg(F.collect_list(F.struct("id", "root", "found", "bands")).alias("items")))
+    placed = members.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1)))).drop("blocks")
+    items = placed.join(found, "id")  # sets come last, so that they are shuffled once on their way to blocks
+    blocks = written(items.groupBy("key", "block").agg(F.collect_list(F.struct("id", "root", "found", "bands")).alias("items")))
     pairs = blocks.alias("l").join(blocks.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block")))
     alike = _alike_pairs(F.col("l.key"), F.col("l.block") == F.col("r.block"), F.col("l.items"), F.col("r.items"))
     return written(pairs.select(F.explode(alike).alias("pair")).select("pair.*"))

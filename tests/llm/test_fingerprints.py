@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidewell.llm import components, minhash, queries, simhash, textkit
@@ -160,3 +161,13 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(minhash, "GROUP_BYTES", 0)
     assert (minhash.fingerprints([t.encode() for t in texts]) == whole).all()
     assert [simhash.fingerprint_of(t.encode()) for t in texts] == prints
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(simhash, "written", lambda frame: frames.append(frame) or textkit.written(frame))
+    prints = textkit.written(spark.range(300).select(F.pmod("id", F.lit(200)).alias("fingerprint")).distinct())
+    for crowd in (1024, 4):
+        frames.append(simhash.links(prints, crowd))
+    assert len(frames) == 6
+    assert not any("Broadcast" in frame._jdf.queryExecution().executedPlan().toString() for frame in frames)

@@ -114,7 +114,7 @@ def fingerprint(text: Column) -> Column:
 def _paired(keyed: DataFrame, also: Column) -> DataFrame:
     near = F.bit_count(F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint"))) <= 2
     pair = (F.col("l.key") == F.col("r.key")) & (F.col("l.fingerprint") < F.col("r.fingerprint")) & near & also
-    return keyed.alias("l").join(keyed.alias("r"), pair).select(F.col("l.fingerprint").alias("a"), F.col("r.fingerprint").alias("b"))
+    return keyed.alias("l").join(keyed.alias("r").hint("merge"), pair).select(F.col("l.fingerprint").alias("a"), F.col("r.fingerprint").alias("b"))
 
 
 def links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -123,9 +123,10 @@ def links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
     high = F.shiftrightunsigned("fingerprint", 32)
     deleted = [low.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit(i << 32)) for i in range(32)]
     keyed = fingerprints.select("fingerprint", F.explode(F.array(*deleted, high.bitwiseOR(F.lit(32 << 32)))).alias("key"))
-    # counted before any rows of a key meet; most keys have one fingerprint and go no further
+    # counted before any rows of a key meet; most keys have one fingerprint and go no further. Spark takes the exploded rows
+    # for as many bytes as the fingerprints and would send them all through the driver, so these joins are merges.
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(keyed.join(counts, "key"))
+    sized = written(keyed.join(counts.hint("merge"), "key"))
     in_low = F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint")).bitwiseAND(F.lit(0xFFFFFFFF))
     position = F.shiftrightunsigned(F.col("l.key"), 32)
     deleted_one = F.expr("shiftleft(1L, cast(shiftrightunsigned(l.key, 32) as int))")

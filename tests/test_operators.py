@@ -487,3 +487,17 @@ def test_windowed_counts(spark, tmp_path):
     finally:
         run.stop()
     assert spark.table("daily").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_dirty_transcripts_follow_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tidewell.plans import catalogue
+
+    rows = [(1, 1, "again again again again again, and more"), (1, 2, "Plain words here."), (2, 1, "ab"), (2, 5, "Plain words here."), (3, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = sorted(duck.execute(catalogue.ORACLE_SQL["dirty_transcripts"]).fetchall())
+    assert sorted(tuple(r) for r in catalogue.dirty_transcripts(spark, str(tmp_path)).collect()) == expected
+    assert spark.sql("SELECT 'again again again again again' AS t").select(text.dirty_transcript(F.col("t"), F.lit(0.0), F.lit(0.0), F.lit(False))).first()[0]

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import minhash, simhash, similar
+from tidewell.llm import minhash, simhash, similar, textkit
 
 
 def test_near_dedup_stage_finds_similar_texts(spark):
@@ -62,3 +63,10 @@ def test_groups_of_near_copies(spark, monkeypatch):
                 root = [x if r == y else r for r in root]
     assert similar.representatives(frame).count() == len(set(root))
     assert similar.representatives(frame.limit(0)).count() == 0
+
+
+def test_exploded_bands_are_not_broadcast(spark):
+    sets = textkit.written(spark.range(300).select("id", F.array(F.pmod("id", F.lit(7)), F.lit(-1)).alias("bands")))
+    members = similar._apart(sets.select("id", F.explode("bands").alias("key")).withColumn("root", F.col("id")))
+    assert "Broadcast" not in members._jdf.queryExecution().executedPlan().toString()
+    assert members.count() == 600

@@ -145,9 +145,9 @@ def _close(sets: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame) -> DataFrame:
-    """The rows (id, key, root) of keys that have several roots."""
+    """The rows (id, key, root) of keys that have several roots; a merge, as Spark counts exploded bands as one."""
     several = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return members.join(several, "key", "left_semi")
+    return members.join(several.hint("merge"), "key", "left_semi")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -211,7 +211,7 @@ def _across(members: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = members.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1)))).drop("blocks")
     items = placed.join(found, "id")  # sets come last, so that they are shuffled once on their way to blocks
     blocks = written(items.groupBy("key", "block").agg(F.collect_list(F.struct("id", "root", "found", "bands")).alias("items")))
-    pairs = blocks.alias("l").join(blocks.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block")))
+    pairs = blocks.alias("l").join(blocks.alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block")))
     alike = _alike_pairs(F.col("l.key"), F.col("l.block") == F.col("r.block"), F.col("l.items"), F.col("r.items"))
     return written(pairs.select(F.explode(alike).alias("pair")).select("pair.*"))
 
@@ -227,7 +227,7 @@ def links(docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for turn in range(rounds):
         order = F.xxhash64("id", F.lit(turn), F.pmod("key", F.lit(LEADS)))
         leads = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("id").alias("lead"), F.col("root").alias("of"))).alias("pick"))
-        stars = members.join(leads.select("key", "pick.lead", "pick.of"), "key").where("root <> of").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        stars = members.join(leads.select("key", "pick.lead", "pick.of").hint("merge"), "key").where("root <> of").select(F.col("lead").alias("a"), F.col("id").alias("b"))
         new = _decided(stars if alike is not None else _close(sets).union(stars), docs, sets)
         alike = new if alike is None else alike.union(new)
         members = written(_apart(_rooted(members.select("id", "key"), alike).select("id", "key", "root")))

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 
 from tests.conftest import SF
-from tidewell.operators import clusters
+from tidewell.operators import clusters, vectors
 from tidewell.plans import catalogue
 
 
@@ -31,3 +31,18 @@ def test_density_clustering_holds_no_matrix(monkeypatch):
     assert (clusters.density_labels(points, 15)[0] == whole).all()
     assert abs(clusters.validity(points, whole) - value) < 1e-9
     assert tracemalloc.get_traced_memory()[1] < len(points) ** 2 * 8 / 2
+
+
+def test_silhouette_sums_hold_a_few_rows_of_distances(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (1500, 8)), rng.normal(0, 1, (1500, 8))
+    keys, labels = np.arange(1500), rng.integers(0, 3, 1500)
+    monkeypatch.setattr(vectors, "HELD", 30_000)
+    tracemalloc.start()
+    names, sizes, totals = vectors.sums_by_label(x, y, keys, keys, labels)
+    assert tracemalloc.get_traced_memory()[1] < 1500**2 * 8 / 4
+    tracemalloc.stop()
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    np.fill_diagonal(d, 0)
+    assert names.tolist() == [0, 1, 2] and sizes.tolist() == np.bincount(labels).tolist()
+    assert np.allclose(totals, np.stack([d[:, labels == k].sum(1) for k in range(3)], 1))

@@ -83,15 +83,42 @@ def patch_pool(patches: Column) -> Column:
     return pooled(patches)
 
 
+#: Rows that a task takes of each side at most, on average, and distances that it holds at once.
+BLOCK_ROWS, HELD = 8192, 1 << 21
+
+
+def sums_by_label(x, y, kx, ky, ly):
+    """(labels of y, their sizes, distances from each x to each label's y, summed); equal keys are at distance 0."""
+    import numpy as np
+
+    order = np.argsort(ly, kind="stable")
+    y, ky = y[order], ky[order]
+    names, starts, sizes = np.unique(ly[order], return_index=True, return_counts=True)
+    totals, squares = np.empty((len(x), len(names))), (y**2).sum(1)
+    step = max(1, HELD // max(1, len(y)))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        d = part @ y.T
+        d *= -2
+        d += (part**2).sum(1)[:, None]
+        d += squares
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+        d[kx[i : i + step, None] == ky] = 0
+        totals[i : i + step] = np.add.reduceat(d, starts, axis=1)
+    return names, sizes, totals
+
+
 def silhouette(frame: DataFrame, key: str, vector: str, label: str, blocks: int = 8) -> DataFrame:
     """key, label, s: the exact Euclidean silhouette of each row.
 
     Rows meet block by block: each task compares one block of queries with one block of points and returns sums by
-    label, so no task holds more than two blocks, and sums are combined afterwards.
+    label, so no task holds more than two blocks of about BLOCK_ROWS rows, and sums are combined afterwards. There are
+    ``blocks`` at least.
     """
     import numpy as np
     import pandas as pd
 
+    blocks = max(blocks, -(-frame.count() // BLOCK_ROWS))
     rows = frame.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(label).cast("long").alias("l")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     every = F.array(*[F.lit(i) for i in range(blocks)])
     left = rows.select("*", F.explode(every).alias("o")).withColumnRenamed("b", "q")
@@ -101,13 +128,9 @@ def silhouette(frame: DataFrame, key: str, vector: str, label: str, blocks: int
         if a.empty or b.empty:
             return pd.DataFrame({"k": [], "own": [], "l": [], "total": [], "n": []})
         x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-        d[a["k"].to_numpy()[:, None] == b["k"].to_numpy()[None]] = 0
-        parts = []
-        for one in np.unique(b["l"]):
-            inside = (b["l"] == one).to_numpy()
-            parts.append(pd.DataFrame({"k": a["k"], "own": a["l"], "l": one, "total": d[:, inside].sum(1), "n": inside.sum()}))
-        return pd.concat(parts)
+        names, sizes, totals = sums_by_label(x, y, a["k"].to_numpy(), b["k"].to_numpy(), b["l"].to_numpy())
+        each = len(names)
+        return pd.DataFrame({"k": np.repeat(a["k"].to_numpy(), each), "own": np.repeat(a["l"].to_numpy(), each), "l": np.tile(names, len(a)), "total": totals.ravel(), "n": np.tile(sizes, len(a))})
 
     found = left.groupBy("q", "o").cogroup(right.groupBy("q", "o")).applyInPandas(lambda a, b: sums(a, b), "k long, own long, l long, total double, n long")
     means = found.groupBy("k", "own", "l").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -33,6 +33,18 @@ def test_density_clustering_holds_no_matrix(monkeypatch):
     assert tracemalloc.get_traced_memory()[1] < len(points) ** 2 * 8 / 2
 
 
+def test_trees_and_validity_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(c, 0.2 + c / 20, (n, 4)) for c, n in ((0, 130), (3, 90), (6, 60))] + [rng.uniform(-2, 8, (40, 4))])
+    monkeypatch.setattr(clusters, "SPAN", 32)
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    keys, _, shared, ((labels, strength),) = clusters.fitted(frame, "id", "v", [(10, False)])
+    whole, expected = clusters.density_labels(points, 10)
+    assert keys.tolist() == list(range(len(points))) and len(set(whole)) > 2
+    assert (labels == whole).all() and np.allclose(strength, expected)
+    assert clusters.fitted(frame.limit(5), "id", "v", [(10, False)])[3] == [None]
+
+
 def test_silhouette_sums_hold_a_few_rows_of_distances(monkeypatch):
     rng = np.random.default_rng(8)
     x, y = rng.normal(0, 1, (1500, 8)), rng.normal(0, 1, (1500, 8))

@@ -153,11 +153,78 @@ def blocks(ids, width: int):
     return [ids[i : i + size] for i in range(0, len(ids), size)]
 
 
-def density_labels(points, min_cluster_size: int, min_samples: int | None = None, leaf: bool = False, max_share: float = 0.0):
+def squares(x, rows, others):
+    """Squared Euclidean distances from x[rows] to x[others]."""
+    import numpy as np
+
+    left, right = x[rows], x[others]
+    d = left @ right.T
+    d *= -2
+    d += (left**2).sum(1)[:, None]
+    d += (right**2).sum(1)
+    return np.maximum(d, 0, out=d)
+
+
+def nearest_squares(x, rows, ranks: list[int]):
+    """Squared distances from each of x[rows] to its neighbours of these ranks; itself has rank 0."""
+    import numpy as np
+
+    every = np.arange(len(x))
+    parts = [np.partition(squares(x, part, every), ranks, axis=1)[:, ranks].copy() for part in blocks(rows, len(x))]
+    return np.concatenate([np.zeros((0, len(ranks))), *parts])
+
+
+def spanned(x, core, rows):
+    """(squared weight, end, end): a minimum spanning tree of x[rows] by mutual reachability; core: squared core distances of x."""
+    import numpy as np
+
+    n = len(rows)
+    own, mine, every = x[rows], core[rows], np.arange(len(rows))
+    held = None
+    if n * n <= 4 * BLOCK:  # else one row at a time
+        held = squares(own, every, every)
+        np.maximum(held, mine[:, None], out=held)
+        np.maximum(held, mine, out=held)
+    alive, best, link, at = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, np.int64), 0
+    weights, ends, starts = np.zeros(max(0, n - 1)), np.zeros(max(0, n - 1), np.int64), np.zeros(max(0, n - 1), np.int64)
+    for k in range(n - 1):
+        alive[at], best[at] = False, np.inf
+        reach = held[at] if held is not None else np.maximum(squares(own, [at], every)[0], np.maximum(mine[at], mine))
+        nearer = (reach < best) & alive
+        np.copyto(best, reach, where=nearer)
+        link[nearer] = at
+        at = int(best.argmin())
+        if not alive[at]:  # all that are left are infinitely far
+            at = int(alive.argmax())
+        weights[k], starts[k], ends[k] = best[at], link[at], at
+    return weights, rows[np.minimum(starts, ends)], rows[np.maximum(starts, ends)]
+
+
+def thinned(weights, a, b):
+    """Those of the edges that are in their minimum spanning forest, in order."""
+    import numpy as np
+
+    order = np.lexsort((b, a, weights))
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist()
+    parent, kept = list(range(len(names))), []
+    for k, (i, j) in enumerate(zip(one, two, strict=True)):
+        i, j = find_root(parent, i), find_root(parent, j)
+        if i != j:
+            parent[j] = i
+            kept.append(k)
+            if len(kept) == len(names) - 1:
+                break
+    kept = order[np.array(kept, np.int64)]
+    return weights[kept], a[kept], b[kept]
+
+
+def density_labels(points, min_cluster_size: int, min_samples: int | None = None, leaf: bool = False, max_share: float = 0.0, tree=None):
     """(labels, probabilities) of a matrix by hierarchical density clustering on Euclidean distance; -1 is noise.
 
     Mutual reachability gives a minimum spanning tree, its edges in order a hierarchy, from which splits into parts of
-    ``min_cluster_size`` at least are kept, and of those the most stable ones, or the leaves.
+    ``min_cluster_size`` at least are kept, and of those the most stable ones, or the leaves. ``tree``: spanned() of the
+    points, if it is known.
     """
     import numpy as np
 
@@ -165,17 +232,10 @@ def density_labels(points, min_cluster_size: int, min_samples: int | None = None
     n = len(x)
     if n < max(2, min_cluster_size):
         raise ValueError("fewer points than a cluster needs")
-    nth = min(n - 1, min_samples or min_cluster_size)
-    core = np.concatenate([np.partition(distances(x, rows), nth, axis=1)[:, nth].copy() for rows in blocks(np.arange(n), n)])
-    done, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        done[at] = True
-        reach = np.maximum(distances(x, [at])[0], np.maximum(core[at], core))
-        nearer = ~done & (reach < best)
-        best[nearer], link[nearer] = reach[nearer], at
-        at = int(np.where(done, np.inf, best).argmin())
-        edges.append((best[at], link[at], at))
+    if tree is None:
+        nth = min(n - 1, min_samples or min_cluster_size)
+        tree = spanned(x, nearest_squares(x, np.arange(n), [nth])[:, 0], np.arange(n))
+    edges = list(zip(np.sqrt(tree[0]).tolist(), tree[1].tolist(), tree[2].tolist(), strict=True))
     edges.sort()
     parent, node, size, children = list(range(n)), list(range(n)), [1] * n, {}
     find = lambda a: a if parent[a] == a else find_root(parent, a)
@@ -264,6 +324,95 @@ def find_root(parent: list[int], a: int) -> int:
     return root
 
 
+#: Points of a block whose spanning trees with each other block are found, and blocks of which a task takes the pairs.
+SPAN, SIDE = 2048, 4
+
+
+def gathered(matrix: DataFrame, key: str, vector: str):
+    """(keys, points) of one case in the keys' order."""
+    import numpy as np
+
+    rows = matrix.select(key, vector).toArrow().combine_chunks()
+    keys = rows[key].to_numpy()
+    points = rows[vector].combine_chunks().flatten().to_numpy().astype(float).reshape(len(keys), -1)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], points[order]
+
+
+def in_tasks(spark: SparkSession, works: list, function, schema: str):
+    """The Arrow table of function(work)'s pandas frames, each in a task of its own."""
+
+    def run(frames):
+        for frame in frames:
+            for i in frame["id"]:
+                yield function(works[i])
+
+    return spark.range(0, len(works), 1, max(1, len(works))).mapInPandas(run, schema).toArrow()
+
+
+def trees(spark: SparkSession, shared, n: int, ranks: list[int]) -> dict:
+    """By rank: a minimum spanning tree of ``shared`` points (a broadcast) by mutual reachability, core distances to that neighbour.
+
+    An edge of the whole tree is in the tree of any part that holds its ends. So tasks find trees of pairs of blocks,
+    and the tree of their edges is the whole one.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cores(ids) -> pd.DataFrame:
+        found = nearest_squares(shared.value, np.arange(*ids), ranks)
+        return pd.DataFrame({"id": np.arange(*ids), **{f"c{k}": found[:, k] for k in range(len(ranks))}})
+
+    cuts = np.linspace(0, n, max(1, min(n, n // 1024, 96)) + 1).astype(int)
+    rows = in_tasks(spark, list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)), cores, "id long, " + ", ".join(f"c{k} double" for k in range(len(ranks))))
+    order = np.argsort(rows["id"].to_numpy())
+    core = spark.sparkContext.broadcast({r: rows[f"c{k}"].to_numpy()[order] for k, r in enumerate(ranks)})
+    parts = np.array_split(np.arange(n), -(-n // SPAN))
+    sides = [parts[i : i + SIDE] for i in range(0, len(parts), SIDE)]
+    works = [(r, i, j) for r in ranks for i in range(len(sides)) for j in range(i, len(sides))]
+
+    def edges(work) -> pd.DataFrame:
+        r, i, j = work
+        if i == j:
+            pairs = [(a, b) for k, a in enumerate(sides[i]) for b in sides[i][k + 1 :]] or [(sides[i][0], sides[i][0][:0])]
+        else:
+            pairs = [(a, b) for a in sides[i] for b in sides[j]]
+        found = [spanned(shared.value, core.value[r], np.concatenate(pair)) for pair in pairs]
+        weights, a, b = thinned(*map(np.concatenate, zip(*found, strict=True)))
+        return pd.DataFrame({"rank": r, "w": weights, "a": a, "b": b})
+
+    table = in_tasks(spark, works, edges, "rank long, w double, a long, b long")
+    of = table["rank"].to_numpy()
+    return {r: thinned(*[table[c].to_numpy()[of == r] for c in ("w", "a", "b")]) for r in ranks}
+
+
+def fitted(matrix: DataFrame, key: str, vector: str, runs: list[tuple[int, bool]], max_share: float = 0.0):
+    """(keys, points, broadcast points, for each run (min_cluster_size, leaf) its labels and probabilities, or None if it fails)."""
+    import numpy as np
+    import pandas as pd
+
+    spark = matrix.sparkSession
+    keys, points = gathered(matrix, key, vector)
+    n = len(keys)
+    shared = spark.sparkContext.broadcast(points)
+    ranks = sorted({min(n - 1, size) for size, _ in runs if n >= max(2, size)})
+    tree = spark.sparkContext.broadcast(trees(spark, shared, n, ranks) if ranks else {})
+    works = [(k, size, leaf) for k, (size, leaf) in enumerate(runs) if n >= max(2, size)]
+
+    def labels(work) -> pd.DataFrame:
+        k, size, leaf = work
+        found, strength = density_labels(shared.value, size, leaf=leaf, max_share=max_share, tree=tree.value[min(n - 1, size)])
+        return pd.DataFrame({"run": k, "id": np.arange(n), "label": found, "strength": strength})
+
+    table = in_tasks(spark, works, labels, "run int, id int, label int, strength double") if works else None
+    out: list = [None] * len(runs)
+    for k, _, _ in works:
+        rows = table.filter(np.equal(table["run"].to_numpy(), k))
+        order = np.argsort(rows["id"].to_numpy())
+        out[k] = rows["label"].to_numpy()[order], rows["strength"].to_numpy()[order]
+    return keys, points, shared, out
+
+
 def search(matrix: DataFrame, key: str, vector: str, runs: DataFrame) -> DataFrame:
     """Sizes, noise and validity for each run (run_id, min_cluster_size, leaf): combinations are fitted in parallel.
 

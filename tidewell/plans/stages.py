@@ -109,18 +109,13 @@ def generation_rounds(state: DataFrame, key: str, generate: Callable[[DataFrame,
 def assign(matrix: DataFrame, key: str, vector: str, min_cluster_size: int, leaf: bool = False, max_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(key, cluster_id, centrality) of a champion's parameters fitted again, and its cluster metrics.
 
-    One case's accounts are one group, as the hierarchy needs all of them.
+    The matrix of one case goes to every task; blocks of it are compared in parallel.
     """
     import pandas as pd
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values(key)
-        found, strength = clusters.density_labels(np.stack(rows[vector]), min_cluster_size, leaf=leaf, max_share=max_share)
-        return pd.DataFrame({key: rows[key], "cluster_id": found, "centrality": strength})
-
-    members = matrix.select(key, vector).groupBy(F.lit("case")).applyInPandas(fit, f"{key} long, cluster_id long, centrality double")
+    keys, _, _, ((found, strength),) = clusters.fitted(matrix, key, vector, [(min_cluster_size, leaf)], max_share)
+    rows = pd.DataFrame({key: keys, "cluster_id": found.astype("int64"), "centrality": strength})
+    members = matrix.sparkSession.createDataFrame(rows, f"{key} long, cluster_id long, centrality double")
     return members, clusters.cluster_metrics(members)
 
 

@@ -42,6 +42,7 @@ def test_trees_and_validity_in_tasks(spark, monkeypatch):
     whole, expected = clusters.density_labels(points, 10)
     assert keys.tolist() == list(range(len(points))) and len(set(whole)) > 2
     assert (labels == whole).all() and np.allclose(strength, expected)
+    assert abs(clusters.validity_in_tasks(spark, shared, labels) - clusters.validity(points, whole)) < 1e-9
     assert clusters.fitted(frame.limit(5), "id", "v", [(10, False)])[3] == [None]
 
 

@@ -419,23 +419,93 @@ def search(matrix: DataFrame, key: str, vector: str, runs: DataFrame) -> DataFra
     The matrix of one case goes to every task; a fit that fails is skipped, as its run has no row.
     """
     import numpy as np
-    import pandas as pd
-
-    rows = matrix.orderBy(key).collect()
-    points = matrix.sparkSession.sparkContext.broadcast(np.array([r[vector] for r in rows], float))
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in frame.itertuples():
-            try:
-                labels, _ = density_labels(points.value, int(r.min_cluster_size), leaf=bool(r.leaf))
-            except ValueError:
-                continue
+    spark = matrix.sparkSession
+    wanted = runs.select("run_id", "min_cluster_size", "leaf").collect()
+    _, _, shared, found = fitted(matrix, key, vector, [(int(r["min_cluster_size"]), bool(r["leaf"])) for r in wanted])
+    out = []
+    for r, one in zip(wanted, found, strict=True):
+        if one is not None:
+            labels = one[0]
             sizes = sorted(np.bincount(labels[labels >= 0]).tolist()) or [0]
-            out.append((r.run_id, int(labels.max()) + 1, float((labels < 0).mean()), sizes[0], int(np.median(sizes)), sizes[-1], validity(points.value, labels)))
-        return pd.DataFrame(out, columns=["run_id", "n_clusters", "noise_ratio", "min_size", "median_size", "max_size", "dbcv"])
+            out.append((r["run_id"], int(labels.max()) + 1, float((labels < 0).mean()), sizes[0], int(np.median(sizes)), sizes[-1], validity_in_tasks(spark, shared, labels)))
+    return spark.createDataFrame(out, "run_id long, n_clusters long, noise_ratio double, min_size long, median_size long, max_size long, dbcv double")
 
-    return runs.groupBy("run_id").applyInPandas(fit, "run_id long, n_clusters long, noise_ratio double, min_size long, median_size long, max_size long, dbcv double")
+
+def validity_in_tasks(spark: SparkSession, shared, labels) -> float:
+    """validity() of ``shared`` points (a broadcast), in tasks that hold some rows' distances each."""
+    import numpy as np
+    import pandas as pd
+
+    ids, sizes = np.unique(labels[labels >= 0], return_counts=True)
+    ids = ids[sizes > 1]
+    if len(ids) < 2:
+        return 0.0
+    order = np.flatnonzero(np.isin(labels, ids))
+    order = order[np.argsort(labels[order], kind="stable")]
+    starts = np.searchsorted(labels[order], ids)
+    stops = np.append(starts[1:], len(order))
+    of = spark.sparkContext.broadcast(order)
+    cuts = np.linspace(0, len(order), max(1, min(len(order) // 512, 96)) + 1).astype(int).tolist()
+    chunks = list(zip(cuts, cuts[1:], strict=False))
+
+    def segments(lo: int, hi: int):
+        """(first, last, cluster's first, cluster's last) of each cluster's rows within [lo, hi)."""
+        for k in range(int(np.searchsorted(stops, lo, "right")), len(ids)):
+            if starts[k] >= hi:
+                break
+            yield max(lo, int(starts[k])), min(hi, int(stops[k])), int(starts[k]), int(stops[k])
+
+    def cores(work) -> pd.DataFrame:
+        x, values = shared.value[of.value], []
+        power = x.shape[1]
+        for a, b, first, last in segments(*work):
+            own = np.arange(first, last)
+            for rows in blocks(np.arange(a, b), len(own)):
+                near = squares(x, rows, own)
+                near[np.arange(len(rows)), rows - first] = np.inf
+                values.append((np.power(np.maximum(near, 1e-24), -power / 2).sum(1) / (len(own) - 1)) ** (-2.0 / power))
+        return pd.DataFrame({"id": np.arange(*work), "core": np.concatenate(values)})
+
+    table = in_tasks(spark, chunks, cores, "id long, core double")
+    core = spark.sparkContext.broadcast(table["core"].to_numpy()[np.argsort(table["id"].to_numpy())])
+
+    def apart(work) -> pd.DataFrame:
+        x, least = shared.value[of.value], np.full(work[1] - work[0], np.inf)
+        for rows in blocks(np.arange(*work), len(x)):
+            reach = squares(x, rows, np.arange(len(x)))
+            np.maximum(reach, core.value[rows][:, None], out=reach)
+            np.maximum(reach, core.value, out=reach)
+            for a, b, first, last in segments(int(rows[0]), int(rows[-1]) + 1):
+                reach[a - rows[0] : b - rows[0], first:last] = np.inf
+            least[rows - work[0]] = reach.min(1)
+        return pd.DataFrame({"id": np.arange(*work), "least": least})
+
+    table = in_tasks(spark, chunks, apart, "id long, least double")
+    separation = np.sqrt(np.minimum.reduceat(table["least"].to_numpy()[np.argsort(table["id"].to_numpy())], starts))
+    works, many, load = [], [], 0
+    for k in range(len(ids)):
+        parts = np.array_split(np.arange(starts[k], stops[k]), -(-(stops[k] - starts[k]) // SPAN))
+        if len(parts) > 1:
+            works += [[(k, np.concatenate((parts[i], parts[j])))] for i in range(len(parts)) for j in range(i)]
+            continue
+        many.append((k, parts[0]))
+        load += len(parts[0])
+        if load >= SPAN:
+            works.append(many)
+            many, load = [], 0
+    works += [many] if many else []
+
+    def widest(work) -> pd.DataFrame:
+        x = shared.value[of.value]
+        found = [(k, *spanned(x, core.value, rows)) for k, rows in work]
+        return pd.concat([pd.DataFrame({"k": k, "w": w, "a": a, "b": b}) for k, w, a, b in found])
+
+    table = in_tasks(spark, works, widest, "k long, w double, a long, b long")
+    weights, a, b = thinned(*[table[c].to_numpy() for c in ("w", "a", "b")])
+    sparse = np.zeros(len(ids))
+    np.maximum.at(sparse, np.searchsorted(stops, a, "right"), np.sqrt(weights))
+    return float((((stops - starts) / len(labels)) * (separation - sparse) / np.maximum(np.maximum(separation, sparse), 1e-12)).sum())
 
 
 def validity(points, labels) -> float:

@@ -312,3 +312,18 @@ def test_pipeline_edges(spark):
             out = written(out)
             some = out if out.count() else some
         assert corpus_pipeline.encoding(spark, some, SF).where(F.col("lossless") == F.lit(False)).count() == 0
+
+
+def test_drawn_shuffles_no_texts(spark):
+    rows = [(i, f"s{i % 3}", " ".join([f"w{i}"] * (i % 40))) for i in range(400)] + [(7, "s1", "twice twice"), (7, "s1", "twice twice"), (None, None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.drawn(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "Broadcast" not in line]
+    taken = Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r["doc_id"], r["hash"]] += r["taken"]
+    drawn = Counter()
+    for r in found.select("doc_id", F.xxhash64("text").alias("hash"), mixing.word_count(F.col("text")).alias("size")).collect():
+        drawn[r["doc_id"], r["hash"]] += r["size"]
+    assert +taken == drawn

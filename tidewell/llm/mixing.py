@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.lines import VISIBLE
 from tidewell.llm.rules import SYMBOLS, let
-from tidewell.llm.textkit import WORD_SEPARATORS, chosen, written
+from tidewell.llm.textkit import WORD_SEPARATORS, written
 
 # Weights of the sources by code point, repeating, and the most often that a document is taken.
 WEIGHTS = (5, 2, 1)
@@ -75,12 +75,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: i
     return found.select("source", "source_size", F.least("limit", F.coalesce(open_level * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weight: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and ``hash`` (of the text), for each row; ``weight`` replaces quality_weight().
-
-    A source's documents never meet in one task: sums by source and key range come first, and they tell in which
-    range the budget ends; only that range's rows are put in order. The ends, one row a source, are a table of their own.
-    """
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None, *also: Column) -> DataFrame:
+    """doc_id, source, size, hash, key, range and ``also`` of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -88,11 +84,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         word_count(F.col(text_col)).alias("size"),
         F.coalesce(quality_weight(F.col(text_col)) if weight is None else weight, F.lit(0.0)).alias("weight"),
         F.xxhash64(text).alias("hash"),
+        *also,
     )
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "hash"), 11) + 0.5) / 2**53
     rows = rows.withColumn("key", -F.log(draw) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(LEAST_WEIGHT))
-    rows = rows.withColumn("range", F.floor(F.log2("key") * RANGES))
-    rows = written(rows.select("doc_id", "source", "size", "hash", "key", "range"))
+    return rows.withColumn("range", F.floor(F.log2("key") * RANGES)).drop("weight")
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """of (a source), source_size, target, epochs, budget, the range ``end`` in which the budget ends, and the words before it."""
     sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -103,22 +103,47 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     walked = walked.withColumn("after", running).withColumn("before", F.col("after") - F.col("words"))
     last = F.when(F.col("before") <= F.col("budget"), F.struct("range", "before"))
     ends = walked.groupBy("of", "source_size", "target", "epochs", "budget").agg(F.max(last).alias("end"))
-    ends = written(ends.select("of", "source_size", "target", "epochs", "budget", F.col("end.range").alias("end"), F.col("end.before").alias("before")))
-    joined = rows.join(ends, F.col("source").eqNullSafe(F.col("of")))
-    whole = F.col("range") < F.col("end")
-    taken = F.col("size") * (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0))
+    return written(ends.select("of", "source_size", "target", "epochs", "budget", F.col("end.range").alias("end"), F.col("end.before").alias("before")))
+
+
+def _at_the_edge(joined: DataFrame) -> DataFrame:
+    """The rows of the ranges in which budgets end, with ``more``: whether the budget reaches them."""
     order = Window.partitionBy("source").orderBy("key", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.sum("size").over(order) + F.col("before")
-    clear = joined.where(F.col("range") != F.col("end")).withColumn("more", whole)
-    edge = joined.where(F.col("range") == F.col("end")).withColumn("more", reached - F.col("size") / 2 <= F.col("budget"))
-    out = clear.unionByName(edge)
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "hash")
+    return joined.where(F.col("range") == F.col("end")).withColumn("more", reached - F.col("size") / 2 <= F.col("budget"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weight: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and ``hash`` (of the text), for each row; ``weight`` replaces quality_weight().
+
+    A source's documents never meet in one task: sums by source and key range come first, and they tell in which
+    range the budget ends; only that range's rows are put in order. The ends, one row a source, are a table of their own.
+    """
+    rows = written(_keyed(docs, id_col, text_col, source_col, seed, weight))
+    joined = rows.join(_ends(rows), F.col("source").eqNullSafe(F.col("of")))
+    clear = joined.where(F.col("range") != F.col("end")).withColumn("more", F.col("range") < F.col("end"))
+    taken = F.col("size") * (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0))
+    return clear.unionByName(_at_the_edge(joined)).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "hash")
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weight: Column | None = None) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken; rows without words are left out."""
-    taken = mixed(docs, id_col, text_col, source_col, seed, weight).where("taken > 0")
-    times = taken.groupBy("doc_id", "hash").agg((F.sum("taken") / F.max("size")).cast("int").alias("times"), F.count("*").alias("rows"))
-    times = written(times.select(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "times", "rows"))
-    found = chosen(docs, id_col, text_col, times)
+    """The mix itself: each row of docs as often as it is taken; rows without words are left out.
+
+    Texts are not shuffled: a row's range tells how often it is taken, and only those of the ranges in which budgets
+    end, one in some 4,000, are looked up in a table.
+    """
+    rows = written(_keyed(docs, id_col, text_col, source_col, seed, weight))
+    ends = _ends(rows)
+    edge = _at_the_edge(rows.join(ends, F.col("source").eqNullSafe(F.col("of"))))
+    edge = edge.groupBy("source", "doc_id", "hash").agg(F.sum(F.col("epochs") + F.when(F.col("more"), 1).otherwise(0)).alias("at_edge"), F.count("*").alias("rows"))
+    edge = written(edge.select(F.col("source").alias("edge_source"), F.col("doc_id").alias("edge_id"), F.col("hash").alias("edge_hash"), "at_edge", "rows"))
+    found = _keyed(docs, id_col, text_col, source_col, seed, weight, F.struct(*docs.columns).alias("row")).drop("key")
+    found = found.join(ends, F.col("source").eqNullSafe(F.col("of")))
+    listed = F.col("source").eqNullSafe(F.col("edge_source")) & F.col("doc_id").eqNullSafe(F.col("edge_id")) & (F.col("hash") == F.col("edge_hash"))
+    found = found.join(edge, listed, "left")
+    clear = F.col("epochs") + F.when(F.col("range") < F.col("end"), 1).otherwise(0)
+    times = F.when(F.col("size") > 0, F.coalesce("at_edge", clear)).otherwise(0)
+    found = found.withColumn("times", times.cast("int")).where("times > 0")
+    if edge.where("rows > 1").limit(1).count():
+        found = found.where("rows IS NULL OR rows = 1").union(found.where("rows > 1").dropDuplicates(["source", "doc_id", "hash"]))
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -501,3 +501,20 @@ def test_dirty_transcripts_follow_their_sql(spark, tmp_path):
     expected = sorted(duck.execute(catalogue.ORACLE_SQL["dirty_transcripts"]).fetchall())
     assert sorted(tuple(r) for r in catalogue.dirty_transcripts(spark, str(tmp_path)).collect()) == expected
     assert spark.sql("SELECT 'again again again again again' AS t").select(text.dirty_transcript(F.col("t"), F.lit(0.0), F.lit(0.0), F.lit(False))).first()[0]
+
+
+def test_dirty_transcripts_apply_every_rule(spark, tmp_path):
+    import duckdb
+
+    from tidewell.plans import catalogue
+
+    plain = "Plain words here"
+    dirty = ["so it went on, on On ... on on and on", "ΟΔΟΣ, οδος, ΟΔΟΣ, οδος, ΟΔΟΣ and more", "word x² x² x² x² x² word", "  Thanks for\n WATCHING! ", "\xa0Thank you very much.\u2003", "(music) Thanks for watching,  and I'll see you next time. See you!", plain + " by DimaTorzok, 2020", "THANKS FOR WATCHING.", "thank you, Mr. President, " * 26]
+    clean = [plain, "on and on and on and on and on", "one on, on, on, on, onward", "Well, thank you very much, they said.", "Thanks for watchinġ.", "THANKS FOR WATCHİNG."]
+    rows = [(i, 1, t) for i, t in enumerate(dirty + clean)] + [(0, 1, plain)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = sorted((i, turn, t in dirty) for i, turn, t in rows)
+    assert sorted(tuple(r) for r in catalogue.dirty_transcripts(spark, str(tmp_path)).collect()) == expected
+    assert sorted(duck.execute(catalogue.ORACLE_SQL["dirty_transcripts"]).fetchall()) == expected
